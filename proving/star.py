@@ -159,13 +159,16 @@ class Star:
 
     @cached_property
     def order_heads(self) -> DataFrame:
-        """Order attributes that need no other table (also valid on a stream)."""
+        return self.as_order_heads(self.raw("orders"))
+
+    def as_order_heads(self, raw: DataFrame, keep=()) -> DataFrame:
+        """Order attributes that need no other table; also valid on a stream."""
         key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
         channel = F.substring("o_orderpriority", 1, 1).cast("long")
         trip = channel != 5
         zone = F.when(trip, F.col("o_custkey") % 25 + 1)
         minutes = 660 + key * 7919 % 720
-        return self.raw("orders").select(
+        return raw.select(
             key.alias("order_key"), self._date_key().alias("date_key"),
             F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + minutes * 60)
             .alias("order_ts"),
@@ -175,7 +178,7 @@ class Star:
             F.when(trip, F.lit(45)).alias("promised_min"),
             F.when(trip, (15 + (key * 37 + zone * 11) % 50).cast("int")).alias("actual_min"),
             (key % 67 == 0).alias("is_cancelled"),
-            F.when(key % 10 == 0, "2FOR1").alias("promo_code"))
+            F.when(key % 10 == 0, "2FOR1").alias("promo_code"), *keep)
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -232,9 +235,13 @@ class Star:
 
     @cached_property
     def entry_log(self) -> DataFrame:
-        """The events as a log of form saves: one row per event, keyed by day."""
+        return self.as_entry_log(self.raw("events"))
+
+    @staticmethod
+    def as_entry_log(raw: DataFrame) -> DataFrame:
+        """The events as a log of form saves, keyed by day; also on a stream."""
         day = F.date_sub(F.col("ts").cast("date"), EVENT_SHIFT_DAYS)
-        return self.raw("events").select(
+        return raw.select(
             day.alias("business_date"), F.col("ts").cast("timestamp").alias("entered_at"),
             F.col("event_id").alias("seq"),
             F.col("event_type").alias("entered_by"), cents("value").alias("gross_revenue"),
