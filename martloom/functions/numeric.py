@@ -25,8 +25,10 @@ def safe_ratio(num, den, scale=1, places=2) -> Column:
 
 
 def half_even(c, places=0) -> Column:
-    """Banker's rounding, used by the outputs that were dataframe-rounded."""
-    return F.bround(col(c).cast("double"), places)
+    """Banker's rounding of a double as dataframe libraries do it: scale, round
+    to the nearest even integer, scale back."""
+    unit = F.lit(float(10 ** places))
+    return F.rint(col(c).cast("double") * unit) / unit
 
 
 def clean_nan(c) -> Column:

@@ -2,10 +2,13 @@
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import fixed_values as V
-from .aggregate import median_mad
+from ..functions import half_even
+from .aggregate import group_quantiles, median_mad
 from .order import number_rows
 from .regression import attach, design, dot, gram, solve
 from .stable import stable
@@ -33,40 +36,95 @@ def anomaly_metrics(kpi: DataFrame) -> DataFrame:
 
 def metric_rows(df: DataFrame, metrics: Mapping[str, Sequence[str]] = TERMS,
                 keep: Sequence[str] = ("full_date", "day_name", "day_of_week")) -> DataFrame:
-    """Wide to long: one row per (day, metric) with value and design, so that
-    one job serves every metric. Days without the value are left out."""
+    """Wide to long: one row per (day, metric) with its value and terms, so
+    that one job serves every metric. Days lacking the value or a term of its
+    model are left out: they are not fitted and never flagged."""
+    terms = sorted({t for ts in metrics.values() for t in ts} - set(keep))
     cells = F.array(*[F.struct(
         F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"),
-        design(terms, CATEGORICAL).alias("x")) for m, terms in metrics.items()])
-    long = df.select(*keep, F.inline(cells))
-    return long.filter(F.col("value").isNotNull()
-                       & ~F.exists("x", lambda c: c["v"].isNull() | F.isnan(c["v"])))
+        F.array(*[F.col(t).isNotNull() for t in ts]).alias("_known"))
+        for m, ts in metrics.items()])
+    long = df.select(*keep, *[F.col(t).cast("double").alias(t) for t in terms],
+                     F.inline(cells))
+    return long.filter(F.col("value").isNotNull() & F.forall("_known", lambda k: k)
+                       ).drop("_known")
 
 
-def robust_residuals(rows: DataFrame, by: Sequence[str] = (), max_iter: int = 50,
-                     tol: float = 1e-8) -> DataFrame:
+def robust_residuals(rows: DataFrame, by: Sequence[str] = (),
+                     metrics: Mapping[str, Sequence[str]] = TERMS, max_iter: int = 50,
+                     tol: float = 1e-8, longest: int = 40_000) -> DataFrame:
     """Residuals of a Huber M-estimate per series (``by`` + metric).
 
-    Iteratively re-weighted least squares: each step derives residuals from
-    the current coefficients, the scale from their median size, the weights,
-    and the next normal equations. Only the small coefficient table is
-    carried from step to step (through shared storage); the rows are stored
-    once and never leave Spark. Stops when the deviance of every series moves
-    less than ``tol``.
+    Scale is the median absolute residual about zero; iteration stops when
+    the deviance moves less than ``tol`` (relative). The longest series is
+    measured first. Daily series are short (40,000 days are a century), so
+    each is fitted where its rows are, in one shuffle for all series. If any
+    series is longer, every fit runs on distributed normal equations instead.
     """
     series = [*by, "metric"]
-    rows = stable(rows, "rows")
+    size = rows.groupBy(*series).count().agg(F.max("count").alias("n")).first()["n"]
+    if (size or 0) <= longest:
+        return _fit_in_place(rows, series, metrics, max_iter, tol)
+    return _fit_distributed(rows, series, metrics, max_iter, tol)
+
+
+def _fit_in_place(rows, series, metrics, max_iter, tol):
+    kept = [f for f in rows.schema.fields]
+    out = StructType([*kept, StructField("resid", DoubleType())])
+
+    def one(pdf):
+        columns = [np.ones(len(pdf))]
+        for t in metrics[pdf["metric"].iloc[0]]:
+            v = pdf[t].to_numpy(dtype=float)
+            columns += [(v == level).astype(float) for level in np.unique(v)] \
+                if t in CATEGORICAL else [v]
+        return pdf.assign(resid=huber_residuals(
+            np.column_stack(columns), pdf["value"].to_numpy(dtype=float), max_iter, tol))
+
+    return rows.groupBy(*series).applyInPandas(one, out)
+
+
+def huber_residuals(x, y, max_iter, tol):
+    """Residuals of one series after iteratively re-weighted least squares."""
+    weight, before = np.ones(len(y)), np.inf
+    for _ in range(max_iter + 1):
+        root = np.sqrt(weight)
+        resid = y - x @ np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
+        scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
+        if scale == 0:
+            break
+        u = np.abs(resid) / scale
+        inside = u <= HUBER_T
+        deviance = np.where(inside, u * u / 2, HUBER_T * u - HUBER_T ** 2 / 2).sum()
+        if abs(before - deviance) <= tol * max(deviance, 1.0):
+            break
+        before = deviance
+        weight = np.where(inside, 1.0, HUBER_T / np.maximum(u, HUBER_T))
+    return resid
+
+
+def _fit_distributed(rows, series, metrics, max_iter, tol):
+    """The same iteration when a series is too long for one task: the rows are
+    stored once and stay on Spark, each step sums the next normal equations,
+    and only the small coefficient table is carried along, through shared
+    storage."""
+    x = None
+    for m, terms in metrics.items():
+        cells = design(terms, CATEGORICAL)
+        x = F.when(F.col("metric") == m, cells) if x is None else x.when(
+            F.col("metric") == m, cells)
+    rows = stable(rows.withColumn("x", x), "rows")
     fit = stable(solve(gram(rows, series, "x", "value"), series)
                  .withColumn("dev", F.lit(None).cast("double")), "fit")
     for _ in range(max_iter):
         resid = attach(rows, fit, series, "beta", "dev").withColumn(
             "resid", F.col("value") - dot(F.col("beta"), F.col("x")))
-        scale = resid.groupBy(*series).agg(
-            (F.expr("percentile(abs(resid), 0.5)") / MAD_TO_SIGMA).alias("scale"))
+        scale = group_quantiles(resid.withColumn("_abs", F.abs("resid")), series, "_abs",
+                                [0.5], ["scale"], wide_domain=True).withColumn(
+                                    "scale", F.col("scale") / MAD_TO_SIGMA)
         # zero scale means an exact fit: keep plain weights there
-        exact = F.col("scale") == 0
         scored = (resid.join(scale, series)
-                  .withColumn("_u", F.when(exact, 0.0).otherwise(
+                  .withColumn("_u", F.when(F.col("scale") == 0, 0.0).otherwise(
                       F.abs("resid") / F.nullif("scale", F.lit(0.0))))
                   .withColumn("weight", F.when(F.col("_u") <= HUBER_T, 1.0)
                               .otherwise(HUBER_T / F.col("_u")))
@@ -74,13 +132,11 @@ def robust_residuals(rows: DataFrame, by: Sequence[str] = (), max_iter: int = 50
                               .otherwise(HUBER_T * F.col("_u") - HUBER_T ** 2 / 2)))
         step = solve(gram(scored, series, "x", "value", "weight"), series)
         dev = scored.groupBy(*series).agg(
-            F.sum("rho").alias("dev"),
-            F.first("dev").alias("before"), F.first("scale").alias("scale"))
+            F.sum("rho").alias("dev"), F.first("dev").alias("before"))
         fit = stable(step.join(dev, series), "fit")
-        moved = fit.filter(F.col("scale") > 0).agg(
-            F.max(F.coalesce(F.abs(F.col("dev") - F.col("before")), F.lit(float("inf"))))
-            .alias("d")).first()["d"]
-        if moved is None or moved <= tol:
+        moved = F.abs(F.col("dev") - F.col("before")) / F.greatest("dev", F.lit(1.0))
+        worst = fit.agg(F.max(F.coalesce(moved, F.lit(float("inf")))).alias("d")).first()["d"]
+        if worst is None or worst <= tol:
             break
     return attach(rows, fit, series, "beta").withColumn(
         "resid", F.col("value") - dot(F.col("beta"), F.col("x"))).drop("beta", "x")
@@ -104,7 +160,7 @@ def flag_anomalies(df: DataFrame, threshold: float = 3.0, by: Sequence[str] = ()
     flagged = df.filter(F.abs("z") > threshold).select(
         *by, "full_date", "day_name", "metric",
         F.try_element_at(label, F.col("metric")).alias("category"),
-        F.bround("value", 2).alias("actual"), F.bround("z", 2).alias("z_score"),
+        half_even("value", 2).alias("actual"), half_even("z", 2).alias("z_score"),
         F.when(F.col("z") > 0, "high").otherwise("low").alias("direction"))
     return number_rows(flagged, ["full_date", "metric", *by], "anomaly_key")
 
@@ -113,7 +169,7 @@ def anomaly_daily(kpi: DataFrame, threshold: float = 3.0, by: Sequence[str] = ()
                   max_iter: int = 50) -> DataFrame:
     """Metrics, robust residuals, weekday scaling and flags in one go."""
     rows = metric_rows(anomaly_metrics(kpi), keep=(*by, "full_date", "day_name", "day_of_week"))
-    resid = robust_residuals(rows, by, max_iter)
+    resid = robust_residuals(rows, by, max_iter=max_iter)
     return flag_anomalies(group_mad_z(resid, "resid", [*by, "metric", "day_of_week"]),
                           threshold, by)
 

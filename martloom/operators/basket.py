@@ -3,6 +3,7 @@
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import half_even
 from .order import top_k
 from .stable import stable
 
@@ -69,9 +70,9 @@ def pair_rules(baskets_: DataFrame, min_support: float = 0.01, min_lift: float =
                  (F.col("together") / F.col("na")).alias("confidence")),
         F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"),
                  (F.col("together") / F.col("nb")).alias("confidence")))))
-    rules = both.select("item_a", "item_b", F.bround("support", 4).alias("support"),
-                        F.bround("confidence", 4).alias("confidence"),
-                        F.bround("lift", 3).alias("lift"))
+    rules = both.select("item_a", "item_b", half_even("support", 4).alias("support"),
+                        half_even("confidence", 4).alias("confidence"),
+                        half_even("lift", 3).alias("lift"))
     return top_k(rules, [F.col("lift").desc(), "item_a", "item_b"], max_rules, "rule_key")
 
 

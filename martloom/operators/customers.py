@@ -31,8 +31,7 @@ def rfm(orders: DataFrame, customer: str = "customer_key", date: str = "full_dat
     asof = orders.agg(F.max(date).alias("d")).scalar()
     base = known.groupBy(F.col(customer).alias("customer_key")).agg(
         F.min(date).alias("first_order"), F.max(date).alias("last_order"),
-        F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"),
-        F.avg(F.col(amount).cast("double")).alias("avg_order_value"))
+        F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
     base = stable(base.withColumn("recency_days", F.datediff(asof, "last_order"))
                   .withColumn("tenure_days", F.datediff(asof, "first_order")), "rfm")
     scored = value_quintile(base, "recency_days", "r_score", reverse=True)
@@ -41,7 +40,8 @@ def rfm(orders: DataFrame, customer: str = "customer_key", date: str = "full_dat
     return scored.select(
         "customer_key", "first_order", "last_order", "recency_days", "tenure_days",
         "frequency", money("monetary").alias("monetary"),
-        half_even("avg_order_value", 2).alias("avg_order_value"),
+        half_even(F.col("monetary").cast("double") / F.col("frequency"), 2)
+        .alias("avg_order_value"),
         "r_score", "f_score", "m_score",
         (F.col("r_score") * 100 + F.col("f_score") * 10 + F.col("m_score")).alias("rfm_score"),
         rfm_segment("r_score", "f_score").alias("segment"))
@@ -69,7 +69,6 @@ def churn_features(orders: DataFrame, customer: str = "customer_key",
             .withColumn("_seen", F.col(date) <= cutoff)
             .groupBy(F.col(customer).alias("customer_key")).agg(
                 F.count_if(seen).alias("frequency"), money(F.sum(value)).alias("monetary"),
-                F.avg(value.cast("double")).alias("avg_order_value"),
                 F.max(F.when(seen, F.col(date))).alias("_last"),
                 F.min(F.when(seen, F.col(date))).alias("_first"),
                 F.avg(F.when(seen, F.col(delivery).cast("int"))).alias("delivery_share"),
@@ -77,6 +76,8 @@ def churn_features(orders: DataFrame, customer: str = "customer_key",
             .filter(F.col("frequency") > 0))
     feat = (feat.withColumn("recency_days", F.datediff(cutoff, "_last"))
             .withColumn("tenure_days", F.datediff(cutoff, "_first")))
+    feat = feat.withColumn("avg_order_value",
+                           F.col("monetary").cast("double") / F.col("frequency"))
     months = F.greatest(F.col("tenure_days") / F.lit(30.0), F.lit(1.0))
     return feat.select("customer_key", *V.CHURN_FEATURES[:5],
                        (F.col("frequency") / months).alias("orders_per_month"),
@@ -111,7 +112,7 @@ def churn_model(features: DataFrame, max_iter: int = 200, step: float = 0.08,
 
 def churn_bands(scored: DataFrame) -> DataFrame:
     """Final churn columns from features plus ``churn_probability``."""
-    p = F.bround("churn_probability", 4)
+    p = half_even("churn_probability", 4)
     return scored.select(
         "customer_key", F.col("frequency").cast("long").alias("frequency"),
         money("monetary").alias("monetary"),

@@ -53,8 +53,8 @@ def promise_times(deliveries: DataFrame, level: float = 0.80, step: int = 5,
     exact = F.round("_level", 9)
     return stats.join(q, "zone_key").select(
         *zone, "orders", half_even("_avg", 1).alias("avg_min"),
-        F.bround(exact, 0).cast("int").alias("p80_min"),
-        F.bround(F.round("_p95", 9), 0).cast("int").alias("p95_min"),
+        half_even(exact).cast("int").alias("p80_min"),
+        half_even(F.round("_p95", 9)).cast("int").alias("p95_min"),
         half_even("_late", 1).alias("current_late_pct"),
         (F.ceil(exact / step) * step).cast("int").alias("recommended_promise_min"),
         F.lit(current).alias("current_promise_min"))
@@ -115,10 +115,10 @@ def delivery_factors(model, test: DataFrame,
     mae = stable(mae, "importance")
     base = mae.filter(F.col("feature") == "").select("mae").scalar()
     effect = mae.filter(F.col("feature") != "").select(
-        "feature", F.bround(F.greatest(F.col("mae") - base, F.lit(0.0)), 3)
+        "feature", half_even(F.greatest(F.col("mae") - base, F.lit(0.0)), 3)
         .alias("mean_abs_effect"))
     total = effect.agg(F.sum("mean_abs_effect").alias("t")).scalar()
-    shared = effect.withColumn("share_of_effect", F.bround(
+    shared = effect.withColumn("share_of_effect", half_even(
         F.try_divide(F.col("mean_abs_effect"), total), 4))
     return number_rows(shared, [F.col("mean_abs_effect").desc(), "feature"], "rank")
 

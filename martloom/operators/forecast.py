@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..functions import money, names_of
+from ..functions import half_even, money, names_of
 from .combine import in_spans
 from .regression import attach, design, dot, gram, solve
 from .series import fill_gaps, lag_rows, last_n
@@ -113,16 +113,16 @@ def forecast_daily(model: DataFrame, future: DataFrame, kpi: DataFrame, aov_days
     recent = last_n(kpi, "full_date", aov_days, by).groupBy(*by).agg(
         (F.sum("gross_revenue").cast("double") / F.sum("orders")).alias("_aov"))
     days = attach(predict(model, future, by), recent, list(by), "_aov")
-    whole = F.bround("yhat", 0).cast("long")
+    whole = half_even("yhat").cast("long")
     return days.select(
         *by, F.col("ds").alias("full_date"),
         names_of(F.weekday("ds") + 1, V.DAYS_EN).alias("day_name"),
         whole.alias("orders_forecast"),
-        F.bround(F.greatest(F.col("yhat_lower"), F.lit(0.0)), 0).cast("long")
+        half_even(F.greatest(F.col("yhat_lower"), F.lit(0.0)), 0).cast("long")
         .alias("orders_lower"),
-        F.bround("yhat_upper", 0).cast("long").alias("orders_upper"),
-        F.bround("temp_mean_c", 1).alias("temp_mean_c"),
-        F.bround("precipitation_mm", 1).alias("precipitation_mm"),
+        half_even("yhat_upper", 0).cast("long").alias("orders_upper"),
+        half_even("temp_mean_c", 1).alias("temp_mean_c"),
+        half_even("precipitation_mm", 1).alias("precipitation_mm"),
         F.col("is_rainy").cast("boolean").alias("is_rainy"),
         F.col("is_public_holiday").cast("boolean").alias("is_public_holiday"),
-        money(F.bround(whole * F.col("_aov"), 2)).alias("revenue_forecast"))
+        money(half_even(whole * F.col("_aov"), 2)).alias("revenue_forecast"))

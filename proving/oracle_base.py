@@ -14,7 +14,7 @@ def ratio(num_cents, den_cents, scale=1, places=2):
     n, d = f"(CAST({num_cents} AS HUGEINT) * {k})", f"CAST({den_cents} AS HUGEINT)"
     up = f"((2 * abs({n}) + abs({d})) // (2 * abs({d})))"
     return (f"(CASE WHEN {d} = 0 THEN NULL WHEN ({n} < 0) <> ({d} < 0) "
-            f"THEN -CAST({up} AS DOUBLE) ELSE CAST({up} AS DOUBLE) END"
+            f"THEN CAST(-{up} AS DOUBLE) ELSE CAST({up} AS DOUBLE) END"
             f" / {10 ** places}.0::DOUBLE)")
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from martloom import streaming
 from martloom.fixed_values import PLAUSIBLE
-from martloom.functions import half_even
 from martloom.operators import anomaly, basket, customers, delivery, forecast, quality
 from martloom.operators.stable import scratch_path, stable
 from martloom.plans import marts, reports
@@ -46,11 +45,10 @@ register("rfm", """
 @query("cus_1_rfm", sql("rfm", f"""
 SELECT customer_key, {day('first_day', 'first_order')}, {day('last_day', 'last_order')},
   CAST(recency_days AS INTEGER) AS recency_days, CAST(tenure_days AS INTEGER) AS tenure_days,
-  frequency, {eur('monetary_c')} AS monetary, round(monetary_c / 100.0 / frequency, 1) AS avg_order_value,
-  r_score, f_score, m_score, r_score * 100 + f_score * 10 + m_score AS rfm_score, segment FROM rfm"""))
+  frequency, {eur('monetary_c')} AS monetary,
+  round_even({eur('monetary_c')} / frequency, 2) AS avg_order_value, r_score, f_score, m_score, r_score * 100 + f_score * 10 + m_score AS rfm_score, segment FROM rfm"""))
 def cus_1(s):
-    return customers.rfm(dated_orders(s)).withColumn(
-        "avg_order_value", F.round(F.col("monetary") / F.col("frequency"), 1))
+    return customers.rfm(dated_orders(s))
 
 
 @query("cus_2_segments", sql("rfm", "SELECT segment, count(*) AS customers FROM rfm GROUP BY 1"))
@@ -110,11 +108,10 @@ register("banded", """
 
 @query("cus_6_winback_list", sql("banded", f"""
 SELECT customer_key, frequency, {eur('monetary_c')} AS monetary,
-  round(monetary_c / 100.0 / frequency, 1) AS avg_order_value, recency_days, p AS churn_probability
+  round_even({eur('monetary_c')} / frequency, 2) AS avg_order_value, recency_days, p AS churn_probability
 FROM banded WHERE risk_band = 'High' ORDER BY monetary_c DESC, customer_key LIMIT 50"""))
 def cus_6(s):
-    return customers.winback_list(rule_scored(s)).withColumn(
-        "avg_order_value", F.round(F.col("monetary") / F.col("frequency"), 1))
+    return customers.winback_list(rule_scored(s))
 
 
 @query("cus_7_band_value", sql("banded", f"""
@@ -198,13 +195,13 @@ def ano_1(s):
 @query("ano_2_robust_residuals")
 def ano_2(s):
     rows = anomaly.metric_rows(anomaly.anomaly_metrics(stable(s.kpi, "kpi")))
-    return anomaly.robust_residuals(rows)
+    return anomaly.robust_residuals(rows).select("full_date", "metric", "value", "resid")
 
 
 def simple_residuals(s):
     """Residual = metric minus its weekday median."""
     kpi = anomaly.anomaly_metrics(stable(s.kpi, "kpi"))
-    rows = anomaly.metric_rows(kpi).drop("x")
+    rows = anomaly.metric_rows(kpi)
     med = rows.groupBy("metric", "day_of_week").agg(F.expr("percentile(value, 0.5)").alias("m"))
     return rows.join(med, ["metric", "day_of_week"]).withColumn(
         "resid", F.col("value") - F.col("m")).drop("m")
@@ -352,8 +349,8 @@ def fct_4(s):
 
 
 @query("fct_5_naive_baseline", sql("kpi", """
-SELECT round(avg(abs(orders - then)), 6) AS naive_mae FROM (
-  SELECT full_date, orders, lag(orders, 7) OVER (ORDER BY full_date) AS then,
+SELECT round(avg(abs(orders - earlier)), 6) AS naive_mae FROM (
+  SELECT full_date, orders, lag(orders, 7) OVER (ORDER BY full_date) AS earlier,
     row_number() OVER (ORDER BY full_date DESC) AS back FROM kpi) WHERE back <= 28"""))
 def fct_5(s):
     return forecast.naive_baseline(forecast.forecast_frame(s.kpi)).select(
@@ -497,7 +494,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY business_date ORDER BY ts DESC,
 def str_1(s):
     """Every event is one save of a day's entry; the newest save wins."""
     raw = s.raw("events")
-    live = s.spark.readStream.schema(raw.schema).parquet(f"{s.dir}/events.parquet")
+    live = s.spark.readStream.schema(raw.schema).parquet(f"{s.dir}/events*.parquet")
     entries = s.as_entry_log(live).withColumns({
         "delivery_orders": F.col("total_orders"), "pickup_orders": F.lit(0),
         "is_closed": F.lit(False), "staff_hours": F.lit(1)})
@@ -517,7 +514,7 @@ register("sday", """
 
 def live_orders(s):
     raw = s.raw("orders")
-    live = s.spark.readStream.schema(raw.schema).parquet(f"{s.dir}/orders.parquet")
+    live = s.spark.readStream.schema(raw.schema).parquet(f"{s.dir}/orders*.parquet")
     return s.as_order_heads(live, keep=["o_totalprice"]).withColumn(
         "gross_amount", F.round(F.col("o_totalprice").cast("decimal(18,4)"), 2))
 
