@@ -17,8 +17,20 @@ def value_map(c, mapping, default=None) -> Column:
 
 def names_of(position, names) -> Column:
     """1-based position -> name."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]),
-                        col(position).cast("int"))
+    # one literal, folded to an array once per query
+    return F.element_at(F.split(F.lit("|".join(names)), "[|]"), col(position).cast("int"))
+
+
+def date_key_of(day) -> Column:
+    """yyyymmdd as an integer, by arithmetic rather than text formatting."""
+    day = col(day)
+    return F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
+
+
+def date_of_key(key) -> Column:
+    key = col(key)
+    return F.make_date(F.floor(key / 10000).cast("int"),
+                       F.floor(key / 100).cast("int") % 100, key % 100)
 
 
 def daypart(ts, bands=DAYPARTS) -> Column:

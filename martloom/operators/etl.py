@@ -5,7 +5,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
-from ..functions import clean_nan, money, names_of
+from ..functions import clean_nan, date_key_of, money, names_of
 from .combine import flag_members, span_days
 from .series import fill_gaps
 
@@ -16,7 +16,7 @@ def calendar_of(bounds: DataFrame, start: str = "start", end: str = "end") -> Da
     dow = F.weekday(day) + 1
     return (bounds.select(F.explode(F.sequence(start, end)).alias("full_date"))
             .select(
-                F.date_format(day, "yyyyMMdd").cast("int").alias("date_key"), day,
+                date_key_of(day).alias("date_key"), day,
                 F.year(day).alias("year"), F.quarter(day).alias("quarter"),
                 F.month(day).alias("month"),
                 names_of(F.month(day), V.MONTHS_EN).alias("month_name"),

@@ -41,18 +41,20 @@ def plausibility_metrics(orders: DataFrame, shifts: DataFrame) -> DataFrame:
                 *[F.sum(c).cast("double").alias(c) for c in day.columns if c != "date_key"])
     buckets = ["labour_cost", "waste_eur", "packaging_cost", "payment_fees", "fixed_cost",
                "royalty_cost"]
-    s = shifts.agg(F.struct(*[F.sum(c).cast("double").alias(c) for c in buckets]).alias("s"))
-    t = o.withColumn("s", s.scalar())
+    s = shifts.agg(*[F.sum(c).cast("double").alias(c) for c in buckets])
+    # two one-row totals become one row
+    both = o.unionByName(s, allowMissingColumns=True)
+    t = both.agg(*[F.max(c).alias(c) for c in both.columns])
     cost = F.col("food")
     for c in buckets:
-        cost = cost + F.coalesce(F.col(f"s.{c}"), F.lit(0.0))
+        cost = cost + F.coalesce(c, F.lit(0.0))
     return t.select(
         F.try_divide("gross", "n").alias("aov_eur"),
         F.try_divide("n", F.col("days").cast("double")).alias("orders_per_day"),
         (F.try_divide("late", "judged") * 100).alias("late_pct"),
         F.try_divide("minutes", "timed").alias("delivery_min"),
         (F.try_divide("food", "gross") * 100).alias("food_cost_pct"),
-        (F.try_divide(F.col("s.labour_cost"), F.col("net")) * 100).alias("labour_cost_pct"),
+        (F.try_divide("labour_cost", "net") * 100).alias("labour_cost_pct"),
         (F.try_divide(F.col("net") - cost, F.col("net")) * 100).alias("operating_margin_pct"))
 
 

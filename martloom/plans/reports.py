@@ -7,6 +7,7 @@ from ..functions import money, safe_ratio
 from ..operators.aggregate import group_quantiles, share_of_total, value_counts
 from ..operators.combine import unpivot_lines
 from ..operators.order import top_k
+from ..operators.stable import stable
 from ..operators.series import (in_period, period_change, trailing_mean_days,
                                 trailing_mean_rows, with_lag_days, year_to_date)
 
@@ -150,9 +151,11 @@ def entry_summary(entries: DataFrame, kitchen_wage=V.KITCHEN_WAGE,
 
 
 def menu_quadrant(ki: DataFrame) -> DataFrame:
-    """Items split at the median units and the median margin percent."""
+    """Items split at the median units and the median margin percent (the
+    latter has a bounded domain: tenths of a percent)."""
+    ki = stable(ki, "items")
     units = group_quantiles(ki, [], "units_sold", [0.5], ["m"], wide_domain=True)
-    margin = group_quantiles(ki, [], "margin_pct", [0.5], ["m"], wide_domain=True)
+    margin = group_quantiles(ki, [], "margin_pct", [0.5], ["m"])
     high_units = F.col("units_sold") >= F.col("_u")
     high_margin = F.col("margin_pct") >= F.col("_m")
     return (ki.withColumn("_u", units.scalar()).withColumn("_m", margin.scalar())

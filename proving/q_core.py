@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from martloom.functions import money, safe_ratio, value_map
+from martloom.functions import date_of_key, money, safe_ratio, value_map
 from martloom.functions.labels import bin_fixed
 from martloom.operators import aggregate as agg
 from martloom.operators import combine, order, series
@@ -111,7 +111,7 @@ SELECT part, count(*) AS orders, {day('min(full_date)', 'first_day')}, {day('max
 FROM (SELECT full_date, CASE WHEN full_date <= (SELECT max(full_date) FROM head) - 60
         THEN 'observed' ELSE 'outcome' END AS part FROM head) GROUP BY part"""))
 def flt_3(s):
-    dated = s.order_heads.select(F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    dated = s.order_heads.select(date_of_key("date_key")
                                  .alias("full_date"))
     seen, later = series.temporal_split(dated, "full_date", 60)
     both = combine.union_tagged({"observed": seen, "outcome": later}, "part")
@@ -177,7 +177,7 @@ def join_3(s):
 SELECT {day('business_date')}, total_orders FROM entry
 WHERE business_date NOT IN (SELECT full_date FROM head)"""))
 def join_4(s):
-    dates = s.order_heads.select(F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    dates = s.order_heads.select(date_of_key("date_key")
                                  .alias("full_date"))
     return combine.exclude_keys(s.entries, dates, "business_date", "full_date").select(
         "business_date", "total_orders")
@@ -307,7 +307,7 @@ def agg_6(s):
 @query("agg_7_global", sql("ord", f"""
 SELECT {day('max(full_date)', 'last_day')}, count(*) AS orders, {eur('sum(net_c)')} AS net FROM ord"""))
 def agg_7(s):
-    return s.orders.agg(F.to_date(F.max("date_key").cast("string"), "yyyyMMdd").alias("last_day"),
+    return s.orders.agg(date_of_key(F.max("date_key")).alias("last_day"),
                         F.count(F.lit(1)).alias("orders"), F.sum("net_revenue").alias("net"))
 
 
@@ -399,7 +399,7 @@ register("spend", """
 
 
 def spend(s):
-    last = F.to_date(F.max("date_key").cast("string"), "yyyyMMdd")
+    last = date_of_key(F.max("date_key"))
     asof = s.bounds.select("end").scalar()
     return s.orders.groupBy("customer_key").agg(
         F.count(F.lit(1)).alias("frequency"), F.sum("gross_amount").alias("monetary"),
@@ -551,7 +551,7 @@ def set_3(s):
 @query("set_4_missing_dates", sql("days head", f"""
 SELECT {day('full_date')} FROM days WHERE full_date NOT IN (SELECT full_date FROM head)"""))
 def set_4(s):
-    have = s.order_heads.select(F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    have = s.order_heads.select(date_of_key("date_key")
                                 .alias("full_date"))
     return combine.missing_keys(s.plain_calendar, have, "full_date")
 
@@ -591,7 +591,7 @@ SELECT order_key, coalesce(promo_code, '-') AS promo, nullif(item_qty, 0) AS qty
   CASE daypart WHEN 'Mittag' THEN 0 WHEN 'Nachmittag' THEN 1 WHEN 'Abend' THEN 2 ELSE 3 END AS code,
   TRY_CAST(promo_code AS INTEGER) AS promo_number FROM ord"""))
 def fn_scalar(s):
-    d = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    d = date_of_key("date_key")
     return s.orders.select(
         "order_key", F.coalesce("promo_code", F.lit("-")).alias("promo"),
         F.nullif("item_qty", F.lit(0)).alias("qty_or_null"),

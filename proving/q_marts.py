@@ -145,7 +145,7 @@ SELECT CAST(date_key AS BIGINT) AS shift_key, date_key, {eur('kitchen_h')} AS ki
   {eur('pack_c')} AS packaging_cost, {eur('pay_c')} AS payment_fees, {eur('fixed_c')} AS fixed_cost,
   {eur('royal_c')} AS royalty_cost FROM shift"""))
 def etl_6(s):
-    return etl.daily_costs(s.orders, s.hours, s.assumptions)
+    return etl.daily_costs(s.stored_orders, s.hours, s.assumptions)
 
 
 @query("etl_7_entries_from_orders", sql("ord hrs cal", f"""
@@ -159,7 +159,7 @@ FROM (SELECT date_key, count(*) AS n, sum(gross_c) AS g, count(*) FILTER (WHERE
         count(*) FILTER (WHERE is_cancelled) AS cancelled, bool_or(promo_code IS NOT NULL) AS promo
       FROM ord GROUP BY date_key) o JOIN hrs h USING (date_key) JOIN cal c USING (date_key)"""))
 def etl_7(s):
-    return etl.entries_from_orders(s.orders, s.hours, s.calendar)
+    return etl.entries_from_orders(s.stored_orders, s.hours, s.calendar)
 
 
 @query("etl_8_first_order_date", sql("cust head", f"""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from martloom import streaming
 from martloom.fixed_values import PLAUSIBLE
+from martloom.functions import date_of_key
 from martloom.operators import anomaly, basket, customers, delivery, forecast, quality
 from martloom.operators.stable import scratch_path, stable
 from martloom.plans import marts, reports
@@ -17,7 +18,7 @@ from .registry import query
 
 def dated_orders(s):
     return s.orders.withColumn(
-        "full_date", F.to_date(F.col("date_key").cast("string"), "yyyyMMdd"))
+        "full_date", date_of_key("date_key"))
 
 
 register("rfm0", """
@@ -316,7 +317,7 @@ def fct_1(s):
 def future(s):
     """Two weeks that start three weeks before the history ends, so that the
     calendar and weather tables cover them; every sixth day has no weather."""
-    last = s.order_heads.select(F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    last = s.order_heads.select(date_of_key("date_key")
                                 .alias("ds")).agg(F.date_sub(F.max("ds"), 21).alias("ds"))
     weather = s.weather.filter(F.unix_date("full_date") % 6 != 0)
     return forecast.future_frame(last, 14, weather, s.holidays, s.spans)
@@ -393,7 +394,7 @@ FROM (SELECT unnest(['aov_eur', 'orders_per_day', 'late_pct', 'delivery_min', 'f
         FROM shift))
 JOIN (VALUES {_ranges}) AS r(metric, low, high) USING (metric)"""))
 def dq_1(s):
-    gate = quality.plausibility_gate(quality.plausibility_metrics(s.orders, s.shifts))
+    gate = quality.plausibility_gate(quality.plausibility_metrics(s.stored_orders, s.shifts))
     return gate.withColumn("value", F.round("value", 4))
 
 
@@ -480,7 +481,7 @@ def dq_10(s):
     raw = s.order_heads.join(
         s.lines.groupBy("order_key").agg(F.sum("line_revenue").alias("gross_amount")),
         "order_key", "left")
-    return quality.reconcile(raw, s.orders, ["gross_amount"])
+    return quality.reconcile(raw, s.stored_orders, ["gross_amount"])
 
 
 # ----------------------------------------------------------------- streams

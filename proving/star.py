@@ -8,14 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom import fixed_values as V
-from martloom.functions import daypart, is_late, money
+from martloom.functions import date_key_of, date_of_key, daypart, is_late, money
 from martloom.operators import etl
 from martloom.operators.order import global_rank
+from martloom.operators.stable import stable
 from martloom.plans import marts
 
 # the events table covers January 2024; this shift lays it across the end of
 # the order history
 EVENT_SHIFT_DAYS = 8202
+LINE_MONEY = "decimal(8,2)"
 
 
 def literal_table(spark, columns: dict, types: dict) -> DataFrame:
@@ -32,10 +34,13 @@ class Star:
     """Lazy DataFrames; each property only describes a plan."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._raw = spark, sf_dir, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table; the footer is read once per star."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     # ----------------------------------------------------------- dimensions
     @cached_property
@@ -134,14 +139,16 @@ class Star:
     # ---------------------------------------------------------------- facts
     @cached_property
     def lines(self) -> DataFrame:
-        """Order lines without a surrogate key."""
-        price = cents("l_extendedprice")
+        """Order lines without a surrogate key. Line money keeps the declared
+        decimal(8,2), which Spark sums as plain integers."""
+        price = F.col("l_extendedprice").cast(LINE_MONEY)
+        cost = F.round(price * F.lit("0.3").cast("decimal(2,1)"), 2)
+        saved = F.round(price * F.col("l_discount").cast("decimal(3,2)"), 2)
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("item_key"),
             F.col("l_quantity").cast("long").alias("quantity"),
-            price.alias("line_revenue"),
-            money(F.round(price * F.lit("0.3").cast("decimal(2,1)"), 2)).alias("line_cost"),
-            money(F.round(price * cents("l_discount"), 2)).alias("line_discount"))
+            price.alias("line_revenue"), cost.cast(LINE_MONEY).alias("line_cost"),
+            saved.cast(LINE_MONEY).alias("line_discount"))
 
     @cached_property
     def order_lines(self) -> DataFrame:
@@ -155,7 +162,7 @@ class Star:
 
     @staticmethod
     def _date_key():
-        return F.date_format(F.col("o_orderdate").cast("date"), "yyyyMMdd").cast("int")
+        return date_key_of(F.col("o_orderdate").cast("date"))
 
     @cached_property
     def order_heads(self) -> DataFrame:
@@ -192,6 +199,15 @@ class Star:
             "item_qty": F.coalesce("item_qty", F.lit(0))})
         return etl.order_economics(joined, self.channels, self.zones)
 
+    @cached_property
+    def stored_orders(self) -> DataFrame:
+        """The order fact written once, as a warehouse would hold it: for plans
+        that reduce it more than once, so the line join is not repeated."""
+        return stable(self.orders.select(
+            "order_key", "date_key", "is_delivery", "is_cancelled", "is_late", "actual_min",
+            "item_qty", "gross_amount", "discount_amount", "delivery_fee",
+            "commission_amount", "net_revenue", "food_cost", "promo_code"), "orders")
+
     @cached_property
     def assumptions(self) -> DataFrame:
         text, dec = pa.string(), pa.decimal128(10, 4)
@@ -209,11 +225,11 @@ class Star:
     def staffed_days(self) -> DataFrame:
         """Day totals with hours and waste, in one pass over the orders."""
         cents_of = F.lit("0.02").cast("decimal(3,2)")
-        per_day = self.orders.groupBy("date_key").agg(
+        per_day = self.stored_orders.groupBy("date_key").agg(
             F.count(F.lit(1)).alias("n"), F.count_if("is_delivery").alias("trips"),
             F.sum("food_cost").alias("food"), F.sum("gross_amount").alias("gross"),
             F.sum("net_revenue").alias("net"))
-        day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+        day = date_of_key("date_key")
         return per_day.filter(F.unix_date(day) % 41 != 0).select(
             "date_key", "gross", "net",
             ((1400 + F.col("n") * 21) / 100).cast("decimal(18,2)").alias("kitchen_hours"),
@@ -231,7 +247,7 @@ class Star:
 
     @cached_property
     def kpi(self) -> DataFrame:
-        return marts.kpi_daily(self.orders, self.shifts, self.calendar)
+        return marts.kpi_daily(self.stored_orders, self.shifts, self.calendar)
 
     @cached_property
     def entry_log(self) -> DataFrame:
