@@ -95,9 +95,14 @@ def with_group_stat(df: DataFrame, by: Sequence[str], **stats) -> DataFrame:
     return df.join(table, list(by), "left")
 
 
-def in_period(df: DataFrame, date: str, lo, hi) -> DataFrame:
-    """Inclusive date range; prunes partitions when ``date`` is one."""
-    return df.filter(F.col(date).between(F.lit(lo), F.lit(hi)))
+def in_period(df: DataFrame, date: str, lo, hi, month_key: str | None = None) -> DataFrame:
+    """Inclusive date range. ``month_key`` names a yyyymm partition column, so
+    that only the months of the range are listed and read."""
+    out = df.filter(F.col(date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    if month_key:
+        ends = [F.date_format(F.lit(d).cast("date"), "yyyyMM").cast("int") for d in (lo, hi)]
+        out = out.filter(F.col(month_key).between(*ends))
+    return out
 
 
 def temporal_split(df: DataFrame, date: str, outcome_days: int = 60):
