@@ -215,12 +215,13 @@ def kpi_channel_daily(orders: DataFrame, channels: DataFrame, calendar: DataFram
 
 def customer_base(customers: DataFrame, orders: DataFrame, calendar: DataFrame) -> DataFrame:
     """Customers with their history; none is lost: no orders means count 0
-    and NULL spend."""
-    dated = orders.join(calendar.select("date_key", "full_date"), "date_key", "left")
-    history = dated.filter(F.col("customer_key").isNotNull()).groupBy("customer_key").agg(
+    and NULL spend. The fact meets no other table before it is one row per
+    customer; the last date comes from the last date key."""
+    history = orders.filter(F.col("customer_key").isNotNull()).groupBy("customer_key").agg(
         F.count("order_key").alias("_orders"), F.sum("gross_amount").alias("_spend"),
-        F.count("gross_amount").alias("_priced"),
-        F.max("full_date").alias("last_order_date"))
+        F.count("gross_amount").alias("_priced"), F.max("date_key").alias("date_key"))
+    history = history.join(calendar.select(
+        "date_key", F.col("full_date").alias("last_order_date")), "date_key", "left")
     return customers.join(history, "customer_key", "left").select(
         "customer_key", "customer_code", "zone_key", "signup_channel", "first_order_date",
         F.coalesce("_orders", F.lit(0)).alias("total_orders"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from martloom import fixed_values as V
 from martloom.functions import date_key_of, date_of_key, daypart, is_late, money
 from martloom.operators import etl
-from martloom.operators.order import global_rank
+from martloom.operators.order import surrogate_keys
 from martloom.operators.stable import stable
 from martloom.plans import marts
 
@@ -152,13 +152,13 @@ class Star:
 
     @cached_property
     def order_lines(self) -> DataFrame:
-        """Order lines with date and surrogate key (a distributed rank)."""
+        """Order lines with date and surrogate key; lines may repeat exactly."""
         dated = self.lines.join(
             self.raw("orders").select(F.col("o_orderkey").alias("order_key"),
                                       self._date_key().alias("date_key")), "order_key")
         order = ["order_key", "item_key", "quantity", "line_revenue", "line_cost",
                  "line_discount"]
-        return global_rank(dated, order, "order_item_key")
+        return surrogate_keys(dated, [*order, "date_key"], "order_item_key")
 
     @staticmethod
     def _date_key():

@@ -94,3 +94,15 @@ def test_top_k_is_numbered(skewed):
     got = order.top_k(df, [F.col("v").desc(), "k"], 5, "n").collect()
     want = pdf.sort_values(["v", "k"], ascending=[False, True]).head(5)["k"].tolist()
     assert [r["k"] for r in got] == want and [r["n"] for r in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("chunk", [7, 100_000])
+def test_surrogate_keys_with_many_copies(spark, chunk):
+    """A third of all rows are exact copies of one row."""
+    df = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 4).otherwise(F.col("id") % 11).alias("a"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5).alias("b"))
+    got = order.surrogate_keys(df, ["a", "b"], "key", chunk).toPandas().sort_values("key")
+    want = df.toPandas().sort_values(["a", "b"])
+    assert got["key"].tolist() == list(range(1, 901))
+    assert got[["a", "b"]].to_numpy().tolist() == want.to_numpy().tolist()
