@@ -12,9 +12,10 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str,
                     exact: bool = True, wide_domain: bool = False) -> DataFrame:
     """Linearly interpolated quantiles per group.
 
-    Equal values are counted before anything is shuffled. With a bounded
-    domain (minutes, days) the counters of one group fit one aggregate
-    buffer. ``wide_domain=True`` never holds a group in one task: positions
+    With a bounded domain (minutes, days, one value per day) an aggregate
+    buffer of one counter per distinct value serves a group; it is combined
+    map-side, so a group with very many rows shuffles no more than its
+    counters. ``wide_domain=True`` never holds a group in one task: positions
     come from a distributed running count over the distinct values.
     ``exact=False`` uses the approximate sketch.
     """
@@ -24,11 +25,9 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str,
     if not exact:
         q = F.percentile_approx(value, list(probs), 10000)
         return _spread(known.groupBy(*by).agg(q.alias("_q")), by, names)
-    counted = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     if not wide_domain:
-        listed = ", ".join(str(p) for p in probs)
-        q = F.expr(f"percentile({value}, array({listed}), _c)")
-        return _spread(counted.groupBy(*by).agg(q.alias("_q")), by, names)
+        return _spread(known.groupBy(*by).agg(_percentile(value, probs).alias("_q")), by, names)
+    counted = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = running_total(counted, [value], "_c", "_upto", by)
     totals = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
     placed = placed.join(totals, by) if by else placed.withColumn(
@@ -49,6 +48,10 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str,
     return edges.select(*by, *out)
 
 
+def _percentile(value, probs):
+    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+
+
 def _spread(df, by, names):
     return df.select(*by, *[F.col("_q")[i].cast("double").alias(n)
                             for i, n in enumerate(names)])
@@ -58,12 +61,16 @@ def median_mad(df: DataFrame, by: Sequence[str], value: str,
                wide_domain: bool = False) -> DataFrame:
     """Per group: median, median absolute deviation, sample deviation."""
     by = list(by)
-    med = group_quantiles(df, by, value, [0.5], ["median"], wide_domain=wide_domain)
-    spread = (df.join(med, by)
+    sd = F.stddev_samp(value).alias("stddev")
+    if wide_domain:
+        med = group_quantiles(df, by, value, [0.5], ["median"], wide_domain=True).join(
+            df.groupBy(*by).agg(sd), by)
+    else:
+        med = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"), sd)
+    spread = (df.join(med.drop("stddev"), by)
               .withColumn("_dev", F.abs(F.col(value) - F.col("median"))))
     mad = group_quantiles(spread, by, "_dev", [0.5], ["mad"], wide_domain=wide_domain)
-    sd = df.groupBy(*by).agg(F.stddev_samp(value).alias("stddev"))
-    return med.join(mad, by).join(sd, by)
+    return med.join(mad, by).select(*by, "median", "mad", "stddev")
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share",

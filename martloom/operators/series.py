@@ -9,7 +9,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.numeric import col
 
 
 def _w(order, by):

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir = None
+_written = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,5 +39,17 @@ def stable(df: DataFrame, what: str = "frame") -> DataFrame:
     stored sizes let the optimizer choose joins from facts.
     """
     path = scratch_path(df.sparkSession, what)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what :func:`stable` stored in this session, once no frame built
+    on it is needed any more. Returns how many tables were dropped."""
+    dropped = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        dropped += bool(fs.delete(path, True))
+    return dropped

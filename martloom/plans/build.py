@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom.operators import anomaly, basket, customers, delivery, forecast
-from martloom.operators.stable import stable
+from martloom.operators.stable import release, stable
 from martloom.plans import marts
 from martloom.sources.schemas import SCHEMAS
 from martloom.sources.sinks import manifest, write_mart
@@ -104,6 +104,7 @@ def main(argv):
             F.lit("school").alias("name"), F.col("full_date").alias("start"),
             F.col("full_date").alias("end"))
         remodel(spark, out_root, cal, holidays, spans).show(50, False)
+    release(spark)
 
 
 if __name__ == "__main__":

@@ -1,11 +1,13 @@
 """Sources, sinks, filters, joins, aggregates, windows, sorts, set operations."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from martloom.functions import date_of_key, money, safe_ratio, value_map
 from martloom.functions.labels import bin_fixed
 from martloom.operators import aggregate as agg
 from martloom.operators import combine, order, series
+from martloom.operators.stable import scratch_path
 from martloom.plans import marts
 from martloom.sources import sinks, tables
 
@@ -33,7 +35,6 @@ def day_orders(s):
 @query("src_1_read_table", """
 SELECT n_nationkey, n_name, n_regionkey FROM nation""")
 def src_1(s):
-    from pyspark.sql.types import StructType
     return tables.read_table(s.spark, s.dir, "core.nation", StructType.fromDDL(
         "n_nationkey int, n_name string, n_regionkey int"), ".parquet")
 
@@ -63,6 +64,46 @@ def src_6(s):
         "order_key", "date_key", "gross_amount")
 
 
+@query("src_3_read_csv", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def src_3(s):
+    """Suppliers exported as CSV and scanned with a declared schema."""
+    path = scratch_path(s.spark, "csv")
+    sinks.export(s.raw("supplier").select("s_suppkey", "s_name", "s_nationkey"), path, "csv")
+    return tables.read_csv(s.spark, path, StructType.fromDDL(
+        "s_suppkey long, s_name string, s_nationkey int"))
+
+
+@query("snk_1_write_mart", sql("ord", f"""
+SELECT channel_key, count(*) AS orders, {eur('sum(gross_c)')} AS gross FROM ord GROUP BY channel_key"""))
+def snk_1(s):
+    """A mart written, replaced and read back."""
+    root = scratch_path(s.spark, "root")
+    mart = s.orders.groupBy("channel_key").agg(F.count(F.lit(1)).alias("orders"),
+                                               F.sum("gross_amount").alias("gross"))
+    sinks.write_mart(mart.filter("orders < 0"), root, "channel_totals")
+    sinks.write_mart(mart, root, "channel_totals")
+    return tables.read_table(s.spark, root, "mart.channel_totals")
+
+
+@query("snk_3_export", "SELECT n_nationkey, n_name FROM nation")
+def snk_3(s):
+    path = scratch_path(s.spark, "export")
+    sinks.export(s.raw("nation").select("n_nationkey", "n_name"), path, "parquet")
+    return s.spark.read.parquet(path)
+
+
+@query("snk_4_bulk_append", """
+SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS l_quantity, count(*) AS copies FROM lineitem
+GROUP BY ALL""")
+def snk_4(s):
+    """Whole-number doubles coerced to the integer target and appended."""
+    path = scratch_path(s.spark, "append")
+    target = StructType.fromDDL("l_orderkey long, l_quantity int")
+    sinks.bulk_append(s.raw("lineitem").select("l_orderkey", "l_quantity"), target, path)
+    return s.spark.read.parquet(path).groupBy("l_orderkey", "l_quantity").agg(
+        F.count(F.lit(1)).alias("copies"))
+
+
 @query("snk_5_upsert_latest", f"""
 SELECT {day('business_date')}, strftime(ts, '%Y-%m-%d %H:%M:%S') AS entered_at, event_id AS seq,
   event_type AS entered_by, value AS gross_revenue, user_id % 40 AS total_orders

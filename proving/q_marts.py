@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from martloom import fixed_values as V
+
 from martloom.functions import is_late, late_minutes_over
 from martloom.operators import etl
 from martloom.plans import marts
 
-from .oracle_base import day, eur, r3, ratio, sql
+from .oracle_base import day, eur, ratio, sql
 from .registry import query
 
 # ------------------------------------------------------------- projections

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from martloom.operators.series import in_period
+from martloom.operators.stable import release, stable
 from martloom.plans import build
 from martloom.sources.tables import read_table
 from pyspark.sql import functions as F
@@ -40,3 +41,11 @@ def test_full_build(spark, tmp_path):
     assert set(models) == set(build.MODELS)
     assert models["forecast_daily"] == 14 and models["delivery_promise"] == 25
     assert models["basket_rules"] == 200 and models["delivery_factors"] == 9
+
+
+def test_stored_frames_can_be_released(spark):
+    kept = stable(spark.range(5))
+    assert kept.count() == 5
+    assert release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
