@@ -133,7 +133,7 @@ CTES = {
         + ") AS t(cost_item, cost_type, monthly_eur, pct_of_revenue, note)",
     "hrs": f"""
   SELECT date_key, n, trips, gross_c, net_c, 1400 + n * 21 AS kitchen_h, 400 + trips * 25 AS driver_h,
-    {r3('food_c * 2', 100)} AS waste_c
+    {r3("food_c * (10 + (full_date - DATE '1970-01-01') % 26)", 1000)} AS waste_c
   FROM (SELECT o.date_key, count(*) AS n, count(*) FILTER (WHERE is_delivery) AS trips,
           CAST(sum(food_c) AS BIGINT) AS food_c, CAST(sum(gross_c) AS BIGINT) AS gross_c,
           CAST(sum(net_c) AS BIGINT) AS net_c, min(full_date) AS full_date

@@ -5,7 +5,7 @@ from pyspark.sql.types import StructType
 
 from martloom import streaming
 from martloom.fixed_values import PLAUSIBLE
-from martloom.functions import date_of_key
+from martloom.functions import date_of_key, half_even
 from martloom.operators import anomaly, basket, customers, delivery, forecast, quality
 from martloom.operators.stable import scratch_path, stable
 from martloom.plans import marts, reports
@@ -79,12 +79,12 @@ register("churn", """
 
 @query("cus_4_churn_features", sql("churn", f"""
 SELECT customer_key, frequency, {eur('monetary_c')} AS monetary,
-  round(monetary_c / 100.0 / frequency, 4) AS avg_order_value, recency_days, tenure_days,
+  round_even({eur('monetary_c')} / frequency, 4) AS avg_order_value, recency_days, tenure_days,
   round(frequency / greatest(tenure_days / 30.0, 1), 6) AS orders_per_month,
   round(delivery_share, 6) AS delivery_share, returned FROM churn"""))
 def cus_4(s):
     f = customers.churn_features(dated_orders(s))
-    return f.withColumns({"avg_order_value": F.round("avg_order_value", 4),
+    return f.withColumns({"avg_order_value": half_even("avg_order_value", 4),
                           "orders_per_month": F.round("orders_per_month", 6),
                           "delivery_share": F.round("delivery_share", 6)})
 
@@ -222,7 +222,8 @@ register("zed", """
 
 
 @query("ano_3_group_mad_z", sql("zed", f"""
-SELECT {day('full_date')}, metric, round(z, 5) AS z FROM zed"""))
+SELECT {day('full_date')}, metric, CASE WHEN round(z, 5) = 0 THEN 0 ELSE round(z, 5) END AS z
+FROM zed"""))
 def ano_3(s):
     z = anomaly.group_mad_z(simple_residuals(s), "resid", ["metric", "day_of_week"])
     return z.select("full_date", "metric", F.round("z", 5).alias("z"))

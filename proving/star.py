@@ -224,17 +224,17 @@ class Star:
     @cached_property
     def staffed_days(self) -> DataFrame:
         """Day totals with hours and waste, in one pass over the orders."""
-        cents_of = F.lit("0.02").cast("decimal(3,2)")
         per_day = self.stored_orders.groupBy("date_key").agg(
             F.count(F.lit(1)).alias("n"), F.count_if("is_delivery").alias("trips"),
             F.sum("food_cost").alias("food"), F.sum("gross_amount").alias("gross"),
             F.sum("net_revenue").alias("net"))
-        day = date_of_key("date_key")
-        return per_day.filter(F.unix_date(day) % 41 != 0).select(
+        u = F.unix_date(date_of_key("date_key"))
+        wasted = ((10 + u % 26) / 1000).cast("decimal(4,3)")
+        return per_day.filter(u % 41 != 0).select(
             "date_key", "gross", "net",
             ((1400 + F.col("n") * 21) / 100).cast("decimal(18,2)").alias("kitchen_hours"),
             ((400 + F.col("trips") * 25) / 100).cast("decimal(18,2)").alias("driver_hours"),
-            money(F.round(F.col("food") * cents_of, 2)).alias("waste_eur"))
+            money(F.round(F.col("food") * wasted, 2)).alias("waste_eur"))
 
     @cached_property
     def hours(self) -> DataFrame:

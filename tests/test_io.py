@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from martloom import streaming
 from martloom.operators.quality import QualityError
 from martloom.sources import sinks, tables
+from martloom.sources.entry_store import EntryStore
 from martloom.sources.schemas import LOAD_ORDER, SCHEMAS
 from helpers import dicts, rows, table
 
@@ -168,3 +169,18 @@ def test_duplicate_orders(spark, tmp_path):
     (streaming.dedupe_orders(src).writeStream.option("checkpointLocation", f"{tmp_path}/cp")
      .trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination())
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_entry_store(spark, tmp_path):
+    store = EntryStore(spark, f"{tmp_path}/store")
+    fields = ENTRY.replace(", entered_at timestamp, seq long", "")
+    assert {r.action for r in store.upsert(table(spark, fields, entry(DAY, 5, 0)[:7])).collect()
+            } == {"saved"}
+    more = table(spark, fields, entry(DAY, 6, 0)[:7], entry(DAY + dt.timedelta(2), 4, 0)[:7],
+                 entry(DAY + dt.timedelta(3), 0, 0)[:7])  # the last one is blocked
+    got = {r.business_date: r.action for r in store.upsert(more).collect()}
+    assert got == {DAY: "updated", DAY + dt.timedelta(2): "saved",
+                   DAY + dt.timedelta(3): "blocked"}
+    assert store.get(DAY).first().total_orders == 6 and store.load().count() == 2
+    today = str(DAY + dt.timedelta(4))
+    assert {r[0].day for r in store.missing_days(today).collect()} == {11, 13}

@@ -54,3 +54,18 @@ def test_results_do_not_depend_on_partitioning(spark):
         assert [run(n) for n in names] == wide
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@needs_data
+def test_nothing_depends_on_broadcasts(spark):
+    """With broadcasting off every join takes its other way."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for name in ["mart_1_kpi_daily", "bsk_3_pair_rules", "win_5_global_rank"]:
+            df = contract.queries()[name](spark, SF)
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+            assert compare(df, connect(SF), contract.oracle_sql()[name]).startswith("ok")
+    finally:
+        spark.conf.set(key, before)
