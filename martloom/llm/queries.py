@@ -2,7 +2,10 @@
 
 import public_tokenizers
 
-from . import pack
+from pyspark.sql import functions as F
+
+from ..operators.stable import scratch_path
+from . import pack, repair
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,3 +24,13 @@ def op1_power_of_two_packing(spark, sf_dir):
     """Pieces of power-of-two lengths, 2048 at most, end id 1."""
     return pack.pieces_digest(pack.pack(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048, 1))
+
+
+@query
+def op4_repair_token_files(spark, sf_dir):
+    """Grammar shards in order of doc_id, written and read back; end id 2."""
+    path = scratch_path(spark, "shards")
+    repair.write_shards(documents(spark, sf_dir), path,
+                        public_tokenizers.path("word_bpe_49k.json"), end_id=2, first=49408)
+    return repair.read_shards(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard")
