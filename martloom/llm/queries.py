@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import pack, repair
+from . import pack, repair, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,3 +34,10 @@ def op4_repair_token_files(spark, sf_dir):
                         public_tokenizers.path("word_bpe_49k.json"), end_id=2, first=49408)
     return repair.read_shards(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard")
+
+
+@query
+def op10_simhash_components(spark, sf_dir):
+    """64-bit fingerprints of 3-word shingles, linked within two bits."""
+    found = simhash.groups(documents(spark, sf_dir), width=3, field=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
