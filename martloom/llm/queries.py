@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import pack, repair, simhash
+from . import pack, quality, repair, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,3 +41,9 @@ def op10_simhash_components(spark, sf_dir):
     """64-bit fingerprints of 3-word shingles, linked within two bits."""
     found = simhash.groups(documents(spark, sf_dir), width=3, field=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_line_frequency_rules(spark, sf_dir):
+    """Base statistics, and the verdict with lines that a host's documents share."""
+    return quality.judge(documents(spark, sf_dir)).drop("key")

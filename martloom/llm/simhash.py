@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.stable import stable
+from .text import body, lower_ascii, words
 
 BITS = 64
 
@@ -41,11 +42,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     shingles of ``width`` words (fewer words: all of them; none: fingerprint 0),
     XXH64 with seed 42; a bit is set if it is in over half the hashes. A null
     text has no words; other columns are left out."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")),
-                       "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
     joined = ", ' ', ".join(f"words[i + {k}]" for k in range(width))
-    hashed = docs.select(F.col("doc_id").cast("long"), words.alias("words")).select("doc_id", F.expr(f"""
+    hashed = docs.select(F.col("doc_id").cast("long"), words(lower_ascii(body("text"))).alias("words")).select("doc_id", F.expr(f"""
         case when size(words) >= {width}
              then transform(sequence(0, size(words) - {width}), i -> xxhash64(concat({joined})))
              when size(words) > 0 then array(xxhash64(array_join(words, ' ')))
