@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import pack, quality, repair, simhash
+from . import license, pack, quality, repair, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,3 +47,9 @@ def op10_simhash_components(spark, sf_dir):
 def op9_line_frequency_rules(spark, sf_dir):
     """Base statistics, and the verdict with lines that a host's documents share."""
     return quality.judge(documents(spark, sf_dir)).drop("key")
+
+
+@query
+def op7_license_diagonals(spark, sf_dir):
+    """Licence phrases and notices by votes on offset diagonals."""
+    return license.scan(documents(spark, sf_dir))
