@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import license, pack, quality, repair, simhash
+from . import imatch, license, pack, quality, repair, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,3 +53,9 @@ def op9_line_frequency_rules(spark, sf_dir):
 def op7_license_diagonals(spark, sf_dir):
     """Licence phrases and notices by votes on offset diagonals."""
     return license.scan(documents(spark, sf_dir))
+
+
+@query
+def op2_imatch_fingerprints(spark, sf_dir):
+    """I-Match fingerprints of each text and of its half-edited form."""
+    return imatch.fingerprints(documents(spark, sf_dir))
