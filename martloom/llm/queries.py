@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import imatch, license, pack, quality, repair, simhash
+from . import imatch, license, pack, quality, repair, simhash, suffix_tree
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,3 +59,14 @@ def op7_license_diagonals(spark, sf_dir):
 def op2_imatch_fingerprints(spark, sf_dir):
     """I-Match fingerprints of each text and of its half-edited form."""
     return imatch.fingerprints(documents(spark, sf_dir))
+
+
+def fold(n, k):
+    """Rows whose crc32 of the doc_id's digits is k modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
+
+
+@query
+def op8_suffix_tree_scores(spark, sf_dir):
+    """Log10 probabilities by word counts and by the suffix tree."""
+    return suffix_tree.score(documents(spark, sf_dir), train=~fold(5, 1))
