@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import imatch, license, pack, quality, repair, simhash, suffix_tree
+from . import classifier, imatch, license, pack, quality, repair, simhash, suffix_tree
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,3 +70,12 @@ def fold(n, k):
 def op8_suffix_tree_scores(spark, sf_dir):
     """Log10 probabilities by word counts and by the suffix tree."""
     return suffix_tree.score(documents(spark, sf_dir), train=~fold(5, 1))
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    """Calibrated quality scores, learned from the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = classifier.score(documents(spark, sf_dir), labels, train=~fold(5, 0))
+    return found.select("doc_id", fold(5, 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
