@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import classifier, imatch, license, pack, quality, repair, simhash, suffix_tree
+from . import classifier, imatch, license, pack, quality, repair, secrets, simhash, suffix_tree
 
 QUERIES, ORACLES = {}, {}
 
@@ -79,3 +79,11 @@ def op5_quality_classifier(spark, sf_dir):
     found = classifier.score(documents(spark, sf_dir), labels, train=~fold(5, 0))
     return found.select("doc_id", fold(5, 0).alias("held_out"), "score",
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_secret_forest(spark, sf_dir):
+    """Secrets of every document, by the forest."""
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        F.length("value").cast("long").alias("length"), F.expr("left(value, 4)").alias("starts"), "probability")
