@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import classifier, imatch, license, pack, quality, repair, secrets, simhash, suffix_tree
+from . import classifier, imatch, license, mixing, pack, quality, repair, secrets, simhash, suffix_tree
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,3 +87,9 @@ def op6_secret_forest(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir)).select(
         "doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
         F.length("value").cast("long").alias("length"), F.expr("left(value, 4)").alias("starts"), "probability")
+
+
+@query
+def op3_raked_mixture(spark, sf_dir):
+    """Half of all tokens, with tempered source, language and topic marginals."""
+    return mixing.probabilities(documents(spark, sf_dir), rate=0.5, power=0.7).drop("key")
