@@ -8,19 +8,20 @@ from .text import body, lower_ascii
 TERM_BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 ALWAYS = 0  # a mark that stands in every text, so that texts without lexicon terms stay
 LOW_32 = 0xFFFFFFFF
+FIRST_LEVEL = 3  # subsets of the first level hold one term in 2^3
 
 
 def _terms(c):
     """Distinct hashed terms: letters and digits, lower case, any other script as it is."""
-    return F.transform(F.array_distinct(F.filter(F.split(lower_ascii(c), TERM_BREAKS), lambda w: w != "")),
+    return F.transform(F.array_remove(F.array_distinct(F.split(lower_ascii(c), TERM_BREAKS)), ""),
                        lambda w: F.xxhash64(w))
 
 
-def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, levels: int = 10, each: int = 6,
+def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, levels: int = 8, each: int = 6,
             most: int = 4_000_000) -> DataFrame:
     """(h, mask): terms in more than ``low`` and at most ``high`` of the documents,
     that is in a band of inverse document frequency, and the subsets they belong
-    to. Subset j of level l holds each term with probability 2^-l, decided by a
+    to. A subset of level l holds each term with probability 2^-l, decided by a
     hash, so that texts of any length meet subsets that hold a few of their terms.
 
     The lexicon has fewer than (distinct terms of a mean document) / ``low`` terms
@@ -30,7 +31,7 @@ def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1, levels: int
     n = docs.count()
     df = (docs.select(F.explode(_terms(body("text"))).alias("h")).groupBy("h")
           .agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") > max(1, low * n)) & (F.col("df") <= max(high * n, 2))))
-    mask = sum((F.when(F.pmod(F.xxhash64("h", F.lit(j)), F.lit(1 << (j // each + 1))) == 0, F.lit(1 << j))
+    mask = sum((F.when(F.pmod(F.xxhash64("h", F.lit(j)), F.lit(1 << (j // each + FIRST_LEVEL))) == 0, F.lit(1 << j))
                 .otherwise(F.lit(0)) for j in range(levels * each)), F.lit(0).cast("long"))
     kept = stable(df.filter(F.col("h") != ALWAYS).select("h", mask.alias("mask")), "lexicon")
     if kept.count() > most:
@@ -65,13 +66,20 @@ def _placed(docs, buckets):
             .select("doc_id", "body", F.inline("both")))
 
 
-def _slots(terms, n):
-    """Hashes of the sorted distinct terms of the whole lexicon and of each subset; 0 if none."""
+def _slots(terms, levels, each):
+    """Hashes of the sorted distinct terms of the whole lexicon and of each subset; 0
+    if none. Every second level the terms that no further subset holds are left
+    behind, which halves the work again and again."""
     one = f"if(size({{0}}) = 0, 0L, greatest(xxhash64({{0}}) & {LOW_32}L, 1L))"
-    whole = one.format(f"transform({terms}, x -> x.h)")
-    subsets = [f"""transform(array(filter({terms}, x -> x.mask & {1 << j}L != 0)),
-                s -> {one.format('s')})[0]""" for j in range(n)]
-    return F.expr(f"array({', '.join([whole, *subsets])})")
+    parts, inner = [f"array({one.format(f'transform({terms}, x -> x.h)')})"], None
+    for first in reversed(range(0, levels, 2)):
+        own = ", ".join(f"""transform(array(filter(t{first}, x -> x.mask & {1 << j}L != 0)),
+                            s -> {one.format('s')})[0]""" for j in range(first * each, min(first + 2, levels) * each))
+        rest = sum(1 << j for j in range(first * each, levels * each))
+        above = terms if first == 0 else f"t{first - 2}"
+        inner = f"""transform(array(filter({above}, x -> x.mask & {rest}L != 0)), t{first} ->
+                    {f'concat(array({own}), {inner})' if inner else f'array({own})'})[0]"""
+    return F.expr(f"concat({parts[0]}, {inner})")
 
 
 def _likeness(a, b):
@@ -84,7 +92,7 @@ def _shown(slots):
     return F.array_join(F.transform(slots, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
 
 
-def fingerprints(docs: DataFrame, levels: int = 10, each: int = 6, buckets: int | None = None, **band) -> DataFrame:
+def fingerprints(docs: DataFrame, levels: int = 8, each: int = 6, buckets: int | None = None, **band) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are left out): doc_id,
     ``n_chars``, ``edited_sha256``, the fingerprints of the text and of its edited
     form, and how alike the fingerprint is to the edited one's and to the next
@@ -108,7 +116,7 @@ def fingerprints(docs: DataFrame, levels: int = 10, each: int = 6, buckets: int
                                            F.coalesce(F.substring(F.col("next"), F.lit(1), half), F.lit(""))))
             .drop("next", "tie")
             .withColumn("t", _terms(F.col("body"))).withColumn("e", _terms(F.col("edited"))))
-    every = lambda c: F.greatest(F.xxhash64(F.array_sort(c)).bitwiseAND(F.lit(LOW_32)), F.lit(1).cast("long"))
+    every = lambda c: F.greatest(F.xxhash64(F.sort_array(c)).bitwiseAND(F.lit(LOW_32)), F.lit(1).cast("long"))
     meta = F.struct("doc_id", "ghost", F.length("body").cast("long").alias("n_chars"),
                     F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     every("t").alias("all_t"), every("e").alias("all_e"))
@@ -121,10 +129,10 @@ def fingerprints(docs: DataFrame, levels: int = 10, each: int = 6, buckets: int
     held = (rows.select("b", "at", F.inline(items)).join(F.broadcast(words), "h")
             .groupBy("b", "at").agg(
                 F.max("meta").alias("meta"),
-                F.array_sort(F.collect_set(F.when((F.col("h") != ALWAYS) & ~F.col("e"), F.struct("h", "mask")))).alias("t"),
-                F.array_sort(F.collect_set(F.when(F.col("e"), F.struct("h", "mask")))).alias("e")))
+                F.sort_array(F.collect_list(F.when((F.col("h") != ALWAYS) & ~F.col("e"), F.struct("h", "mask")))).alias("t"),
+                F.sort_array(F.collect_list(F.when(F.col("e"), F.struct("h", "mask")))).alias("e")))
     n = levels * each
-    slotted = held.select("b", "at", "meta.*", _slots("t", n).alias("st"), _slots("e", n).alias("se"))
+    slotted = held.select("b", "at", "meta.*", _slots("t", levels, each).alias("st"), _slots("e", levels, each).alias("se"))
     first = lambda s, c: F.concat(F.array(F.when(F.col(s)[0] == 0, F.col(c)).otherwise(F.col(s)[0])),
                                   F.slice(s, 2, n))
     slotted = slotted.withColumn("st", first("st", "all_t")).withColumn("se", first("se", "all_e"))
