@@ -122,7 +122,7 @@ def _keyed(docs):
 
 
 def _words():
-    return F.filter(F.split(lower_ascii(F.col("body")), WORD_BREAKS), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.col("body")), WORD_BREAKS), "")
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -138,8 +138,8 @@ def scan(docs: DataFrame, **options) -> DataFrame:
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first_word"))).alias("first_word"),
         F.max(F.when(base, F.col("last_word"))).alias("last_word"),
         # labels are few: the lists that the templates name
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"))
+        F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"))
     sized = _keyed(docs).select("doc_id", "key", F.size(_words()).cast("long").alias("n_words"))
     return sized.join(by_key, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
