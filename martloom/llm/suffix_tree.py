@@ -12,10 +12,12 @@ symbols of a word fall back on the tree's own probability of them.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..operators.stable import stable
-from .text import body, lower_ascii, words
+from .text import body
 
 START, STOP, END, JOINT = "\t", " ", "\r", "\n"  # no word holds white space
 TAIL, HEAD = 3, 2
@@ -104,7 +106,7 @@ def _counts(batches, depth, flush):
         yield from counted(texts, weights)
 
 
-def tree(counts: DataFrame, depth: int = 6, least_share: float = 1e-6, least: int = 2,
+def tree(counts: DataFrame, depth: int = 6, least_share: float = 1e-5, least: int = 2,
          nats: float = 4.0, flush: int = 200_000) -> DataFrame:
     """(ctx, sym, n, total, kinds) of the states of the tree. ``counts`` has
     distinct ``word`` (words and joints) with ``c`` occurrences.
@@ -133,13 +135,14 @@ def tree(counts: DataFrame, depth: int = 6, least_share: float = 1e-6, least: in
 
 def packed(states: DataFrame) -> dict:
     """The tree as sorted arrays; its size is bounded by ``least_share``."""
-    got = states.toPandas()
-    ctx, sym = got["ctx"].to_numpy(np.int64).view(np.uint64), got["sym"].to_numpy(np.int64).view(np.uint64)
+    got = states.toArrow()
+    ctx, sym, n, total, kinds = (got[c].to_numpy() for c in ("ctx", "sym", "n", "total", "kinds"))
+    ctx, sym = ctx.view(np.uint64), sym.view(np.uint64)
     pair = _pair(ctx, sym)
     order = np.argsort(pair)
     some, first = np.unique(ctx, return_index=True)
-    return {"pair": pair[order], "n": got["n"].to_numpy(np.float64)[order], "ctx": some,
-            "total": got["total"].to_numpy(np.float64)[first], "kinds": got["kinds"].to_numpy(np.float64)[first]}
+    return {"pair": pair[order], "n": n[order].astype(np.float64), "ctx": some,
+            "total": total[first].astype(np.float64), "kinds": kinds[first].astype(np.float64)}
 
 
 def _found(sorted_keys, keys):
@@ -178,7 +181,59 @@ def log10_probability(texts, model, depth):
     return out
 
 
-def score(docs: DataFrame, train, depth: int = 6, common: int = 100_000, **options) -> DataFrame:
+def coded(texts, tail=TAIL, head=HEAD):
+    """(words, word of each token, tokens' end per text, joints, joint of each token)
+    of a string array: lower-case A-Z, cut at ASCII white space, END after each."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = cut.flatten(), cut.offsets.to_numpy()[1:].astype(np.int64)
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty part
+    if not real.all():
+        ends = np.append(0, np.cumsum(real))[ends]
+        flat = flat.filter(pa.array(real))
+    found = flat.dictionary_encode()
+    words = [*found.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
+    at = np.insert(found.indices.to_numpy().astype(np.int64), ends, len(words) - 1)
+    ends = ends + np.arange(1, len(ends) + 1)
+    ids = lambda x: np.unique(np.array(x, dtype=object).astype(str), return_inverse=True)
+    tails, tail_of = ids([w[-tail:] for w in words] + [START])
+    heads, head_of = ids([w if w == END else (w + STOP)[:head] for w in words])
+    before = np.append(len(words), at[:-1])
+    before[np.append(0, ends[:-1])[ends > np.append(0, ends[:-1])]] = len(words)
+    pair = tail_of[before] * len(heads) + head_of[at]
+    kinds, joint_at = np.unique(pair, return_inverse=True)
+    joints = [f"{tails[k // len(heads)]}{JOINT}{heads[k % len(heads)]}" for k in kinds.tolist()]
+    return words, at, ends, joints, joint_at
+
+
+def _slices(batch, size=8_000_000):
+    """(first row, end row, texts) of about ``size`` bytes each."""
+    texts = batch.column("body")
+    upto, at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield at, to, pa.concat_arrays([texts.slice(at, to - at)])
+        at = to
+
+
+def _counted(batches):
+    for batch in batches:
+        train = batch.column("train").to_numpy(zero_copy_only=False)
+        for first, to, texts in _slices(batch):
+            words, at, ends, joints, joint_at = coded(texts)
+            learn = np.repeat(train[first:to].astype(np.float64), np.diff(ends, prepend=0))
+            for names, of in ((words, at), (joints, joint_at)):
+                n = np.bincount(of, minlength=len(names))
+                c = np.bincount(of, learn, len(names)).astype(np.int64)
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(c), pa.array(n)], ["word", "c", "n"]
+                                      ).filter(pa.array(n > 0))
+
+
+def word_hash(words):
+    """A 64-bit hash of each string."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+def score(docs: DataFrame, train, depth: int = 6, common: int = 500_000, **options) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are left out).
 
     ``train`` is the condition on doc_id of the documents that are learned from.
@@ -195,14 +250,10 @@ def score(docs: DataFrame, train, depth: int = 6, common: int = 100_000, **optio
     only the rarer ones are shuffled, and none of those is hot.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"),
-                       F.coalesce(train, F.lit(False)).alias("train"),
-                       F.concat(words(lower_ascii(body("text"))), F.array(F.lit(END))).alias("words"))
-    joint = F.expr(f"""transform(words, (w, i) -> concat(if(i = 0, '{START}', right(words[i - 1], {TAIL})), '{JOINT}',
-        if(w = '{END}', w, left(concat(w, '{STOP}'), {HEAD}))))""")
-    each = rows.select("key", "train", F.explode(F.concat("words", joint)).alias("word"))
-    counts = stable(each.groupBy("word").agg(F.sum(F.col("train").cast("long")).alias("c"),
-                                             F.count(F.lit(1)).alias("n")), "words")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"),
+                       F.coalesce(train, F.lit(False)).alias("train"), body("text").alias("body"))
+    counts = stable(rows.select("train", "body").mapInArrow(_counted, "word string, c long, n long")
+                    .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
     word = ~F.col("word").contains(JOINT)
     n, v, every = counts.agg(F.coalesce(F.sum(F.when(word, F.col("c"))), F.lit(0)),
                              F.count(F.when(word & (F.col("c") > 0), 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -211,26 +262,63 @@ def score(docs: DataFrame, train, depth: int = 6, common: int = 100_000, **optio
     def scored(batches):
         for batch in batches:
             texts = batch.column("word").to_numpy(zero_copy_only=False).tolist()
-            yield pa.record_batch([*(batch.column(c) for c in ("h", "c", "n", "is_word")),
-                                   pa.array(log10_probability(texts, model.value, depth))],
-                                  ["h", "c", "n", "is_word", "score"])
-
-    base = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    known = stable(counts.select(F.xxhash64("word").alias("h"), "word", "c", "n", word.alias("is_word"))
-                   .mapInArrow(scored, "h long, c long, n long, is_word boolean, score double")
-                   .select("h", "n", (F.col("is_word") & (F.col("c") > 0)).cast("long").alias("known"),
-                           F.when(F.col("is_word"), base).otherwise(F.lit(0.0)).alias("base"), "score"), "scored")
+            c = batch.column("c").to_numpy()
+            is_word = np.array([JOINT not in t for t in texts])
+            yield pa.record_batch(
+                [batch.column("word"), pa.array(word_hash(texts)), batch.column("n"),
+                 pa.array((is_word & (c > 0)).astype(np.int64)),
+                 pa.array(np.where(is_word, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), 0.0)),
+                 pa.array(log10_probability(texts, model.value, depth))],
+                ["word", "h", "n", "known", "base", "score"])
+
+    known = stable(counts.mapInArrow(scored, "word string, h long, n long, known long, base double, score double"), "scored")
     hot = F.col("n") * common >= every
-    sums = [F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")]
-    hashed = each.select("key", F.xxhash64("word").alias("h"))
-    # at most ``common`` rows of 40 bytes
-    near = hashed.join(F.broadcast(known.filter(hot).drop("n")), "h").groupBy("key").agg(*sums)
-    far = (hashed.join(F.broadcast(known.filter(hot).select("h")), "h", "left_anti")
-           .join(known.filter(~hot).drop("n"), "h").groupBy("key").agg(*sums))
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    of_key = near.unionByName(far).groupBy("key").agg(*sums).join(copies, "key")
-    return (rows.select("doc_id", "key", "train", F.size("words").cast("long").alias("n_tokens"))
-            .join(of_key, "key").select(
-                "doc_id", (~F.col("train")).alias("held_out"), "n_tokens",
-                F.expr("known div m").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score")))
+    # at most ``common`` rows
+    top = known.filter(hot).select("word", "known", "base", "score").toArrow()
+    values = np.stack([top[c].to_numpy().astype(np.float64) for c in ("known", "base", "score")], 1)
+    shared = spark.sparkContext.broadcast((top["word"].to_pylist(), values))
+
+    def summed(batches):
+        """Per text the sums over common words, and a row for each rarer one."""
+        names, values = shared.value
+        place = dict(zip(names, range(len(names))))
+        values = np.vstack([values, np.zeros((1, 3))])
+        for batch in batches:
+            ids, uids = batch.column("doc_id"), batch.column("uid").to_numpy()
+            train = batch.column("train")
+            for first, to, texts in _slices(batch):
+                words, at, ends, joints, joint_at = coded(texts)
+                total, far = np.zeros((to - first, 3)), []
+                start = np.append(0, ends[:-1])
+                for names_, of in ((words, at), (joints, joint_at)):
+                    where = np.fromiter((place.get(w, len(names)) for w in names_), np.int64, len(names_))
+                    total += np.add.reduceat(values[where[of]], start)
+                    rare = np.flatnonzero(where[of] == len(names))
+                    if len(rare):
+                        used = np.unique(of[rare])
+                        h = np.zeros(len(names_), np.int64)
+                        h[used] = word_hash([names_[i] for i in used.tolist()])
+                        far.append((uids[first + np.searchsorted(ends, rare, "right")], h[of[rare]]))
+                own, k = uids[first:to], to - first
+                m = sum(len(u) for u, _ in far)
+                none = lambda kind: pa.nulls(m, kind)
+                yield pa.record_batch(
+                    [pa.concat_arrays([pa.array(own), *[pa.array(u) for u, _ in far]]),
+                     pa.concat_arrays([pa.array(own), *[pa.array(h) for _, h in far]]),
+                     pa.array(np.arange(k + m) >= k),
+                     pa.concat_arrays([ids.slice(first, k), none(pa.int64())]),
+                     pa.concat_arrays([train.slice(first, k), none(pa.bool_())]),
+                     pa.concat_arrays([pa.array(ends - start), none(pa.int64())]),
+                     *[pa.concat_arrays([pa.array(total[:, i]), none(pa.float64())]) for i in range(3)]],
+                    ["uid", "h", "far", "doc_id", "train", "n_tokens", "known", "base", "score"])
+
+    # a text's own row has its number in place of a hash, so that such rows spread over all tasks
+    sums = rows.mapInArrow(summed, "uid long, h long, far boolean, doc_id long, train boolean, n_tokens long, "
+                                   "known double, base double, score double")
+    rare = known.filter(~hot).select("h", F.lit(True).alias("far"), *[F.col(c).cast("double").alias(f"r_{c}") for c in ("known", "base", "score")])
+    parts = [F.sum(F.when(F.col("far"), F.col(f"r_{c}")).otherwise(F.col(c))).alias(c) for c in ("known", "base", "score")]
+    return (sums.join(rare, ["h", "far"], "left").groupBy("uid").agg(
+                F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), F.max("n_tokens").alias("n_tokens"), *parts)
+            .select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens",
+                    F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+                    F.col("base").alias("base_score"), "score"))
