@@ -4,13 +4,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .. import fixed_values as V
 from ..functions import half_even
-from .aggregate import group_quantiles, median_mad
+from .aggregate import median_mad
 from .order import number_rows
-from .regression import attach, design, dot, gram, solve
 from .stable import stable
 
 KNOWN_DRIVERS = ("day_of_week", "is_rainy_i", "ph", "sh", "temp_mean_c")
@@ -52,105 +51,68 @@ def metric_rows(df: DataFrame, metrics: Mapping[str, Sequence[str]] = TERMS,
 
 def robust_residuals(rows: DataFrame, by: Sequence[str] = (),
                      metrics: Mapping[str, Sequence[str]] = TERMS, max_iter: int = 50,
-                     tol: float = 1e-8, longest: int = 40_000) -> DataFrame:
-    """Residuals of a Huber M-estimate per series (``by`` + metric).
-
-    Scale is the median absolute residual about zero; iteration stops when
-    the deviance moves less than ``tol`` (relative). The longest series is
-    measured first. Daily series are short (40,000 days are a century), so
-    each is fitted where its rows are, in one shuffle for all series. If any
-    series is longer, every fit runs on distributed normal equations instead.
+                     tol: float = 1e-8, day: str = "full_date") -> DataFrame:
+    """Residuals of a Huber M-estimate per series (``by`` + metric), and whether
+    its iteration ``converged``.
+
+    Scale is the median absolute residual about zero; a series stops when its
+    deviance moves less than ``tol`` (relative). A series is daily: it has one
+    row per ``day`` at most, 36,525 in a century, and is fitted where its rows
+    are, in one shuffle for all series. Rows that repeat a day are refused.
     """
     series = [*by, "metric"]
-    size = rows.groupBy(*series).count().agg(F.max("count").alias("n")).first()["n"]
-    if (size or 0) <= longest:
-        return _fit_in_place(rows, series, metrics, max_iter, tol)
-    return _fit_distributed(rows, series, metrics, max_iter, tol)
-
-
-def _fit_in_place(rows, series, metrics, max_iter, tol):
     kept = [f for f in rows.schema.fields]
-    out = StructType([*kept, StructField("resid", DoubleType())])
+    out = StructType([*kept, StructField("resid", DoubleType()), StructField("converged", BooleanType())])
 
     def one(pdf):
+        if pdf[day].duplicated().any():
+            raise ValueError("a daily series has one row per day")
         columns = [np.ones(len(pdf))]
         for t in metrics[pdf["metric"].iloc[0]]:
             v = pdf[t].to_numpy(dtype=float)
             columns += [(v == level).astype(float) for level in np.unique(v)] \
                 if t in CATEGORICAL else [v]
-        return pdf.assign(resid=huber_residuals(
-            np.column_stack(columns), pdf["value"].to_numpy(dtype=float), max_iter, tol))
+        resid, converged = huber_residuals(
+            np.column_stack(columns), pdf["value"].to_numpy(dtype=float), max_iter, tol)
+        return pdf.assign(resid=resid, converged=converged)
 
     return rows.groupBy(*series).applyInPandas(one, out)
 
 
 def huber_residuals(x, y, max_iter, tol):
-    """Residuals of one series after iteratively re-weighted least squares."""
-    weight, before = np.ones(len(y)), np.inf
+    """(residuals, converged) of one series by iteratively re-weighted least squares."""
+    weight, before, converged = np.ones(len(y)), np.inf, False
     for _ in range(max_iter + 1):
         root = np.sqrt(weight)
         resid = y - x @ np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
         scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
-        if scale == 0:
+        if scale <= 1e-9 * np.abs(y).max(initial=0):  # an exact fit but for rounding
+            converged = True
             break
         u = np.abs(resid) / scale
         inside = u <= HUBER_T
         deviance = np.where(inside, u * u / 2, HUBER_T * u - HUBER_T ** 2 / 2).sum()
         if abs(before - deviance) <= tol * max(deviance, 1.0):
+            converged = True
             break
         before = deviance
         weight = np.where(inside, 1.0, HUBER_T / np.maximum(u, HUBER_T))
-    return resid
-
-
-def _fit_distributed(rows, series, metrics, max_iter, tol):
-    """The same iteration when a series is too long for one task: the rows are
-    stored once and stay on Spark, each step sums the next normal equations,
-    and only the small coefficient table is carried along, through shared
-    storage."""
-    x = None
-    for m, terms in metrics.items():
-        cells = design(terms, CATEGORICAL)
-        x = F.when(F.col("metric") == m, cells) if x is None else x.when(
-            F.col("metric") == m, cells)
-    rows = stable(rows.withColumn("x", x), "rows")
-    fit = stable(solve(gram(rows, series, "x", "value"), series)
-                 .withColumn("dev", F.lit(None).cast("double")), "fit")
-    for _ in range(max_iter):
-        resid = attach(rows, fit, series, "beta", "dev").withColumn(
-            "resid", F.col("value") - dot(F.col("beta"), F.col("x")))
-        scale = group_quantiles(resid.withColumn("_abs", F.abs("resid")), series, "_abs",
-                                [0.5], ["scale"], wide_domain=True).withColumn(
-                                    "scale", F.col("scale") / MAD_TO_SIGMA)
-        # zero scale means an exact fit: keep plain weights there
-        scored = (resid.join(scale, series)
-                  .withColumn("_u", F.when(F.col("scale") == 0, 0.0).otherwise(
-                      F.abs("resid") / F.nullif("scale", F.lit(0.0))))
-                  .withColumn("weight", F.when(F.col("_u") <= HUBER_T, 1.0)
-                              .otherwise(HUBER_T / F.col("_u")))
-                  .withColumn("rho", F.when(F.col("_u") <= HUBER_T, F.col("_u") ** 2 / 2)
-                              .otherwise(HUBER_T * F.col("_u") - HUBER_T ** 2 / 2)))
-        step = solve(gram(scored, series, "x", "value", "weight"), series)
-        dev = scored.groupBy(*series).agg(
-            F.sum("rho").alias("dev"), F.first("dev").alias("before"))
-        fit = stable(step.join(dev, series), "fit")
-        moved = F.abs(F.col("dev") - F.col("before")) / F.greatest("dev", F.lit(1.0))
-        worst = fit.agg(F.max(F.coalesce(moved, F.lit(float("inf")))).alias("d")).first()["d"]
-        if worst is None or worst <= tol:
-            break
-    return attach(rows, fit, series, "beta").withColumn(
-        "resid", F.col("value") - dot(F.col("beta"), F.col("x"))).drop("beta", "x")
+    return resid, converged
 
 
-def group_mad_z(df: DataFrame, resid: str, group: Sequence[str], out: str = "z") -> DataFrame:
+def group_mad_z(df: DataFrame, resid: str, group: Sequence[str], out: str = "z",
+                noise: float = 1e-9, size: str | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD) inside a group; a group without spread falls
-    back to the sample deviation, then to 1."""
+    back to the sample deviation, then to 1. A spread below ``noise`` times the
+    group's largest ``size`` (a column; by default ``resid``) is rounding and
+    counts as none. A group of a daily series has one value per day at most."""
     group = list(group)
-    stats = median_mad(df, group, resid)
-    sd = F.when(F.col("stddev") > 0, F.col("stddev")).otherwise(F.lit(1.0))
-    scale = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(sd)
+    stats = median_mad(df, group, resid).join(df.groupBy(*group).agg(
+        (F.max(F.abs(F.col(size or resid))) * noise).alias("_floor")), group)
+    sd = F.when(F.col("stddev") > F.col("_floor"), F.col("stddev")).otherwise(F.lit(1.0))
+    scale = F.when(F.col("mad") > F.col("_floor"), F.col("mad") * 1.4826).otherwise(sd)
     return df.join(stats, group).withColumn(
-        out, (F.col(resid) - F.col("median")) / scale).drop("median", "mad", "stddev")
+        out, (F.col(resid) - F.col("median")) / scale).drop("median", "mad", "stddev", "_floor")
 
 
 def flag_anomalies(df: DataFrame, threshold: float = 3.0, by: Sequence[str] = (),
@@ -169,8 +131,9 @@ def anomaly_daily(kpi: DataFrame, threshold: float = 3.0, by: Sequence[str] = ()
                   max_iter: int = 50) -> DataFrame:
     """Metrics, robust residuals, weekday scaling and flags in one go."""
     rows = metric_rows(anomaly_metrics(kpi), keep=(*by, "full_date", "day_name", "day_of_week"))
-    resid = robust_residuals(rows, by, max_iter=max_iter)
-    return flag_anomalies(group_mad_z(resid, "resid", [*by, "metric", "day_of_week"]),
+    # stored: the scaling reads the residuals three times, the fit runs once
+    resid = stable(robust_residuals(rows, by, max_iter=max_iter), "resid")
+    return flag_anomalies(group_mad_z(resid, "resid", [*by, "metric", "day_of_week"], size="value"),
                           threshold, by)
 
 

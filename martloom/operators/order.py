@@ -76,24 +76,21 @@ def surrogate_keys(df: DataFrame, order: Sequence[str], out: str,
 
     Rows may repeat exactly. Copies are counted before they are placed (a
     range cannot be cut inside equal rows), positions come from the running
-    count, and copies are written out again at the end; a row with more than
-    ``chunk`` copies is first cut into chunks that travel to different tasks.
+    count, and copies are written out again at the end, in chunks of at most
+    ``chunk`` that travel to different tasks.
     """
     if set(order) != set(df.columns):
         raise ValueError("order must list every column")
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
     placed = running_total(counted, order, "_c", "_upto").withColumn(
         "_from", F.col("_upto") - F.col("_c"))
-    some = placed.filter(F.col("_c") <= chunk).withColumn("_to", F.col("_upto"))
     start = F.col("_from") + F.col("_chunk") * chunk
-    many = (placed.filter(F.col("_c") > chunk)
-            .withColumn("_chunk", F.explode(F.sequence(
-                F.lit(0), F.floor((F.col("_c") - 1) / chunk).cast("int"))))
-            .withColumn("_to", F.least(start + chunk, F.col("_upto")))
-            .withColumn("_from", start).repartition("_from").drop("_chunk"))
-    both = some.unionByName(many)
-    return both.select(F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias(out),
-                       *df.columns)
+    chunks = (placed.withColumn("_chunk", F.explode(F.sequence(
+                  F.lit(0), F.floor((F.col("_c") - 1) / chunk).cast("int"))))
+              .withColumn("_to", F.least(start + chunk, F.col("_upto")))
+              .withColumn("_from", start).repartition("_from"))
+    return chunks.select(F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias(out),
+                         *df.columns)
 
 
 def number_rows(df: DataFrame, order: Sequence, out: str) -> DataFrame:

@@ -1,34 +1,31 @@
 """Cut lineage through shared storage."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir = None
 _written = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, else one in the warehouse,
+    which driver and executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
+        spark.conf.get("spark.sql.warehouse.dir"), "martloom-scratch")
 
-    Only a local-mode session may fall back to a temporary folder: on a
-    cluster the executors would not see it.
-    """
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor sees")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="martloom-")
-    return _local_dir
+
+def _at(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return os.path.join(shared_dir(spark), "martloom", f"{what}-{uuid.uuid4().hex}")
+    """A new path in the shared folder; what is written there is deleted by
+    :func:`release`, or when the application ends."""
+    name = os.path.join(shared_dir(spark), "martloom", f"{what}-{uuid.uuid4().hex}")
+    _written.append(name)
+    return name
 
 
 def stable(df: DataFrame, what: str = "frame") -> DataFrame:
@@ -38,18 +35,18 @@ def stable(df: DataFrame, what: str = "frame") -> DataFrame:
     time (partition offsets, iterations). Lost executors re-read files; the
     stored sizes let the optimizer choose joins from facts.
     """
-    path = scratch_path(df.sparkSession, what)
-    _written.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    name = scratch_path(df.sparkSession, what)
+    df.write.parquet(name)
+    path, fs = _at(df.sparkSession, name)
+    fs.deleteOnExit(path)
+    return df.sparkSession.read.schema(df.schema).parquet(name)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what :func:`stable` stored in this session, once no frame built
-    on it is needed any more. Returns how many tables were dropped."""
+    """Delete what was stored in this session, once no frame built on it is
+    needed any more. Returns how many tables were dropped."""
     dropped = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        path, fs = _at(spark, _written.pop())
         dropped += bool(fs.delete(path, True))
     return dropped

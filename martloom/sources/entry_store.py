@@ -40,11 +40,18 @@ class EntryStore:
 
     def upsert(self, entries: DataFrame) -> DataFrame:
         """Save one entry per day; returns (day, 'saved' | 'updated' |
-        'blocked'). Blocked entries are not written."""
+        'blocked'). Blocked entries are not written. Two entries for a day in
+        one save are refused: neither would be the later one."""
+        twice = entries.groupBy(self.key).count().filter("count > 1").select(self.key).first()
+        if twice is not None:
+            raise ValueError(f"two entries for {twice[0]} in one save")
         checked = entry_rules(entries)
         state = checked.select(self.key, "is_blocked")
         if self._exists():
-            had = self.spark.read.parquet(self.root).select(self.key).distinct()
+            # only the months being saved are read
+            months = checked.select(F.date_format(self.key, "yyyyMM").cast("int").alias("month")).distinct()
+            had = (self.spark.read.parquet(self.root).select(self.key, "month")
+                   .join(months, "month", "left_semi").select(self.key).distinct())
             state = state.join(had.withColumn("_had", F.lit(True)), self.key, "left")
         else:
             state = state.withColumn("_had", F.lit(False))

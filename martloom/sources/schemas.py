@@ -1,10 +1,7 @@
 """Declared schemas of the staging and core tables; inputs are never inferred."""
 
-import re
-
-from pyspark.sql import types as T
-
-_COLUMNS = {
+# fixed values: the tables' columns in their order, as DDL
+SCHEMAS = {
     "daily_entry": """business_date date not null, total_orders int not null,
         gross_revenue decimal(10,2) not null, delivery_orders int not null,
         pickup_orders int not null, cancelled int not null, waste_eur decimal(10,2) not null,
@@ -53,24 +50,6 @@ _COLUMNS = {
         monthly_eur decimal(10,2), pct_of_revenue decimal(6,4), note string""",
 }
 
-_PLAIN = {"int": T.IntegerType(), "long": T.LongType(), "short": T.ShortType(),
-          "string": T.StringType(), "date": T.DateType(), "boolean": T.BooleanType(),
-          "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType()}
-
-
-def _field(text: str) -> T.StructField:
-    name, kind, *rest = text.split()
-    size = re.fullmatch(r"decimal\((\d+);(\d+)\)", kind)
-    dtype = T.DecimalType(int(size[1]), int(size[2])) if size else _PLAIN[kind]
-    return T.StructField(name, dtype, nullable=not rest)
-
-
-def _schema(text: str) -> T.StructType:
-    text = re.sub(r"\((\d+),(\d+)\)", r"(\1;\2)", text)
-    return T.StructType([_field(part) for part in text.split(",")])
-
-
-SCHEMAS = {name: _schema(text) for name, text in _COLUMNS.items()}
 # parents before children
 LOAD_ORDER = ["dim_date", "dim_item", "dim_channel", "dim_zone", "dim_driver",
               "dim_cost_assumption", "dim_customer", "fct_order", "fct_order_item",

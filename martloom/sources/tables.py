@@ -11,7 +11,7 @@ from ..operators.combine import with_variants
 
 
 def read_table(spark: SparkSession, root: str, name: str,
-               schema: StructType | None = None, suffix: str = "") -> DataFrame:
+               schema: StructType | str | None = None, suffix: str = "") -> DataFrame:
     """``layer.table`` or ``table`` under ``root``: the mart layer lives in
     root/mart, every other layer in root. ``suffix`` is for single files."""
     layer, _, table = name.rpartition(".")

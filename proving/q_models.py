@@ -360,8 +360,14 @@ def fct_5(s):
         F.round("naive_mae", 6).alias("naive_mae"))
 
 
+def before_horizon(s, kpi):
+    """The history up to the day before the first day to be forecast."""
+    first = future(s).agg(F.min("ds").alias("ds")).scalar()
+    return kpi.filter(F.col("full_date") < first)
+
+
 def forecasted(s):
-    kpi = kpi_full(s)
+    kpi = stable(before_horizon(s, kpi_full(s)), "history")
     model = forecast.fit_forecast(forecast.forecast_frame(kpi))
     return forecast.forecast_daily(model, future(s), kpi)
 
@@ -511,19 +517,31 @@ register("sday", """
     count(*) FILTER (WHERE o_orderpriority[1] <> '5') AS delivery_orders,
     count(*) FILTER (WHERE o_orderpriority[1] = '5') AS pickup_orders,
     count(*) FILTER (WHERE o_orderkey % 67 = 0) AS cancelled_orders,
-    sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS gross_c FROM orders GROUP BY 1""")
-
-
-def live_orders(s):
+    sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS gross_c,
+    sum(15 + (o_orderkey * 37 + (o_custkey % 25 + 1) * 11) % 50)
+      FILTER (WHERE o_orderpriority[1] <> '5')::BIGINT AS delivery_minutes,
+    count(*) FILTER (WHERE o_orderpriority[1] <> '5') AS timed_orders,
+    count(*) FILTER (WHERE o_orderpriority[1] <> '5'
+      AND 15 + (o_orderkey * 37 + (o_custkey % 25 + 1) * 11) % 50 > 45) AS late_orders
+  FROM orders GROUP BY 1""")
+
+
+def live_orders(s, copies=1):
+    """The orders as a stream of several files, one per batch, that are not in
+    order of date; with ``copies``, each order comes again in a later file."""
     raw = s.raw("orders")
-    live = s.spark.readStream.schema(raw.schema).parquet(f"{s.dir}/orders*.parquet")
+    inbox = scratch_path(s.spark, "inbox")
+    for k in range(copies):
+        raw.repartition(3, F.col("o_orderkey") % 7 + k).write.mode("append").parquet(inbox)
+    live = s.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     return s.as_order_heads(live, keep=["o_totalprice"]).withColumn(
-        "gross_amount", F.round(F.col("o_totalprice").cast("decimal(18,4)"), 2))
+        "gross_amount", F.round(F.col("o_totalprice").cast("decimal(18,4)"), 2)).withColumn(
+        "is_late", F.col("actual_min") > F.col("promised_min"))
 
 
 @query("str_2_stream_kpi", sql("sday", f"""
 SELECT {day('full_date')}, orders, delivery_orders, pickup_orders, cancelled_orders,
-  {eur('gross_c')} AS gross_revenue FROM sday"""))
+  {eur('gross_c')} AS gross_revenue, delivery_minutes, timed_orders, late_orders FROM sday"""))
 def str_2(s):
     sink = scratch_path(s.spark, "kpi-stream")
     streaming.stream_kpi(live_orders(s), f"{sink}/log", f"{sink}/checkpoint").awaitTermination()
@@ -533,11 +551,8 @@ def str_2(s):
 @query("str_3_stream_dedupe", sql("sday", f"""
 SELECT {day('full_date')}, orders FROM sday"""))
 def str_3(s):
-    """The order stream replayed twice; every order is kept once."""
-    twice = live_orders(s).unionByName(live_orders(s))
+    """Every order arrives twice, in different files; it is kept once."""
     sink = scratch_path(s.spark, "dedupe")
-    (streaming.dedupe_orders(twice).select("order_key", "order_ts").writeStream
-     .option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True)
-     .format("parquet").option("path", f"{sink}/orders").start().awaitTermination())
-    return s.spark.read.parquet(f"{sink}/orders").groupBy(
+    streaming.stream_orders(live_orders(s, copies=2), f"{sink}/log", f"{sink}/checkpoint").awaitTermination()
+    return streaming.distinct_orders(s.spark, f"{sink}/log").groupBy(
         F.to_date("order_ts").alias("full_date")).agg(F.count(F.lit(1)).alias("orders"))
