@@ -27,8 +27,8 @@ def _repeat_words():
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``host`` and the base columns, a ``key`` that equal rows share,
     and ``lines``: for each line with a word the hash of its normalised form
-    (lower case, digits as 0, single spaces), the hash of the lines beside it,
-    and its number of words."""
+    (lower case, digits as 0, single spaces), its place, the hash of the lines
+    beside it, and its number of words."""
     windows, placed, again = _repeat_words()
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
@@ -41,7 +41,7 @@ def measured(docs: DataFrame) -> DataFrame:
     repeats = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(F.expr(f"""
         size(array_distinct(flatten(transform(
             transform(array({placed}), placed -> {again})[0], p -> array(p, p + 1, p + 2)))))"""))
-    lines = F.expr("""transform(hashes, (h, j) -> struct(h as h,
+    lines = F.expr("""transform(hashes, (h, j) -> struct(h as h, j as j,
         xxhash64(get(hashes, j - 1), get(hashes, j + 1)) as beside,
         size(split(trim(both ' \\t\\n\\u000b\\f\\r' from parts[j]), '[ \\\\t-\\\\r]+')) as n))""")
     return rows.select(
@@ -62,7 +62,7 @@ def shared_lines(lines: DataFrame, sizes: DataFrame, limit_docs: int, limit_shar
     often = stable(lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
                    .filter(F.col("n") > limit_docs).select("host", "h"), "often")
     held = (lines.join(often, ["host", "h"], "left_semi")
-            .groupBy("host", "h", "uid").agg(F.min("beside").alias("beside"))
+            .groupBy("host", "h", "uid").agg(F.min_by("beside", "j").alias("beside"))
             .groupBy("host", "h", "beside").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_beside")))
     return (held.join(sizes, "host")

@@ -43,6 +43,36 @@ def op10_simhash_components(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+ORACLES["op9_line_frequency_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS body
+    FROM documents),
+  t AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(body, chr(10)),
+    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS parts FROM d),
+  g AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, w[i], w[i + 1], w[i + 2]) AS n
+    FROM (SELECT uid, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+  again AS (SELECT uid, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k)
+    WHERE n > 1 GROUP BY uid),
+  b AS (SELECT uid, doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(parts) - len(list_distinct(parts)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM t LEFT JOIN again USING (uid)),
+  x AS (SELECT uid, host, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM t),
+  line AS (SELECT uid, host, j, len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(
+      regexp_replace(lower(regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), '[0-9]', '0', 'g'),
+      '[\x20\x09-\x0D]+', ' ', 'g') AS h FROM x),
+  near AS (SELECT *, {'a': lag(h) OVER w, 'b': lead(h) OVER w} AS beside FROM line WINDOW w AS (PARTITION BY uid ORDER BY j)),
+  held AS (SELECT host, h, uid, arg_min(beside, j) AS beside FROM near GROUP BY host, h, uid),
+  shared AS (SELECT host, h FROM held JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY host) USING (host)
+    GROUP BY host, h, host_docs
+    HAVING count(*) > 10 AND count(*) > 0.002 * host_docs AND count(DISTINCT beside) >= 0.5 * count(*)),
+  gone AS (SELECT uid, sum(n)::BIGINT AS n_shared_words FROM line JOIN shared USING (host, h) GROUP BY uid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_shared_words, 0) AS n_shared_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND n_words - coalesce(n_shared_words, 0) >= 0.3 * n_words AS kept
+FROM b LEFT JOIN gone USING (uid)"""
+
+
 @query
 def op9_line_frequency_rules(spark, sf_dir):
     """Base statistics, and the verdict with lines that a host's documents share."""
