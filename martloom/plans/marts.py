@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import money, safe_ratio
 from ..operators.combine import exclude_keys, union_tagged
+from ..operators.stable import stable
 
 
 def mart_dim_date(d: DataFrame) -> DataFrame:
@@ -236,7 +237,9 @@ def daily_actuals(kpi: DataFrame, entries: DataFrame) -> DataFrame:
         "gross_revenue", "delivery_orders", "pickup_orders", "waste_eur",
         F.col("kitchen_hours").alias("staff_hours"), "driver_hours", "avg_order_value",
         "operating_profit", F.lit(False).alias("is_closed"))
-    form = exclude_keys(entries, kpi, "business_date", "full_date").select(
+    # one row per day, read twice: stored, so that the KPIs are made once
+    history = stable(history, "history")
+    form = exclude_keys(entries, history, "business_date").select(
         "business_date", "total_orders", "gross_revenue", "delivery_orders",
         "pickup_orders", "waste_eur", "staff_hours", "driver_hours",
         safe_ratio("gross_revenue", "total_orders").alias("avg_order_value"), "is_closed")
