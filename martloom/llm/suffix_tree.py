@@ -81,11 +81,13 @@ def _counts(batches, depth, flush):
                 continue
             order = np.argsort(key)
             starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-            one = order[starts]
+            one, total = order[starts], np.add.reduceat(w[order], starts)
+            near = np.argsort(c[one])  # rows of a context side by side compress well
+            one, total = one[near], total[near]
             yield pa.record_batch(
                 [pa.array(c[one].view(np.int64)), pa.array(p[one].view(np.int64)),
                  pa.array(np.full(len(one), d, np.int32)), pa.array(s[one].view(np.int64)),
-                 pa.array(np.add.reduceat(w[order], starts))], ["ctx", "parent", "depth", "sym", "n"])
+                 pa.array(total)], ["ctx", "parent", "depth", "sym", "n"])
 
     def counted(texts, weights):
         joint = np.array([JOINT in t for t in texts])
@@ -107,7 +109,7 @@ def _counts(batches, depth, flush):
 
 
 def tree(counts: DataFrame, depth: int = 6, least_share: float = 1e-5, least: int = 2,
-         nats: float = 4.0, flush: int = 200_000) -> DataFrame:
+         nats: float = 4.0, flush: int = 300_000) -> DataFrame:
     """(ctx, sym, n, total, kinds) of the states of the tree. ``counts`` has
     distinct ``word`` (words and joints) with ``c`` occurrences.
 
