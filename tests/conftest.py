@@ -10,4 +10,4 @@ from proving.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "tests")
+    return local_session(os.environ.get("TEST_CPUS", "8"), "tests")

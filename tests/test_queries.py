@@ -70,3 +70,16 @@ def test_nothing_depends_on_broadcasts(spark):
             assert compare(df, connect(SF), contract.oracle_sql()[name]).startswith("ok")
     finally:
         spark.conf.set(key, before)
+
+
+@needs_data
+def test_forecasts_are_fitted_on_earlier_days(spark):
+    from pyspark.sql import functions as F
+
+    from proving.q_models import before_horizon, future, kpi_full
+    from proving.star import Star
+
+    star = Star(spark, SF)
+    last = before_horizon(star, kpi_full(star)).agg(F.max("full_date")).first()[0]
+    first = future(star).agg(F.min("ds")).first()[0]
+    assert last < first
