@@ -33,7 +33,8 @@ def binary_slices(flat, at, length):
         None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1,
+         size: int = 4_000_000, remember: int = 1_000_000) -> DataFrame:
     """Pieces of all documents, each with its ids (little-endian uint32).
 
     ``docs`` has doc_id and text, other columns are left out. A null or empty
@@ -41,7 +42,8 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1)
     as often as they occur. ``bucket`` is the exponent of the sequence's length.
     ``sequence_id`` joins the partition's number and a count inside it, so no
     task waits for another and nothing is shuffled; store the result before
-    reading it twice. An empty table gives no rows.
+    reading it twice. An empty table gives no rows. ``size`` (bytes of text at a
+    time) and ``remember`` (encoded words) set a worker's memory against its time.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
@@ -49,7 +51,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids_of = batch.column("doc_id")
-            for first, to, flat, ends in encoded_slices(batch, tokenizer):
+            for first, to, flat, ends in encoded_slices(batch, tokenizer, size, remember):
                 ends = ends + np.arange(1, len(ends) + 1)
                 flat = np.insert(flat, ends - np.arange(1, len(ends) + 1), end_id)
                 sizes = np.diff(ends, prepend=0)

@@ -55,8 +55,9 @@ class Encoder:
         alone = set(alone)
         parts = [p for p in parts if p not in alone]
         groups = [parts[at:at + per_call] for at in range(0, len(parts), per_call)]
-        found = self.tokenizer.encode_batch_fast(
-            [self.sep.join(g) + self.sep for g in groups], add_special_tokens=False)
+        # a few groups at a time: the library's encodings are far larger than the ids
+        found = (e for at in range(0, len(groups), 16) for e in self.tokenizer.encode_batch_fast(
+            [self.sep.join(g) + self.sep for g in groups[at:at + 16]], add_special_tokens=False))
         for group, e in zip(groups, found):
             ids = np.asarray(e.ids, "<u4")
             ends = np.flatnonzero(ids == self.sep_id)
@@ -96,15 +97,16 @@ class Encoder:
         return flat, ends
 
 
-def encoder(path):
+def encoder(path, remember):
     """The worker's encoder for ``path``; it stays for the worker's next tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].remember = remember
     return _loaded[path]
 
 
-def encoded_slices(batch, path, size=4_000_000):
+def encoded_slices(batch, path, size=4_000_000, remember=1_000_000):
     """(first row, end row, flat ids, end of each row in them) for slices of an
     Arrow batch whose column ``text`` holds about ``size`` bytes; a null text
     is empty."""
@@ -114,5 +116,5 @@ def encoded_slices(batch, path, size=4_000_000):
     while at < len(texts):
         before = upto[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(upto, before + size, "right")))
-        yield at, to, *encoder(path).encode(pa.concat_arrays([texts.slice(at, to - at)]))
+        yield at, to, *encoder(path, remember).encode(pa.concat_arrays([texts.slice(at, to - at)]))
         at = to
