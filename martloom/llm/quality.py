@@ -26,9 +26,9 @@ def _repeat_words():
 
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``host`` and the base columns, a ``key`` that equal rows share,
-    and ``lines``: for each line with a word the hash of its normalised form
-    (lower case, digits as 0, single spaces), its place, the hash of the lines
-    beside it, and its number of words."""
+    ``same`` that equal texts share, and ``lines``: for each line with a word the
+    hash of its normalised form (lower case, digits as 0, single spaces), its place
+    and its number of words."""
     windows, placed, again = _repeat_words()
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
@@ -42,36 +42,28 @@ def measured(docs: DataFrame) -> DataFrame:
         size(array_distinct(flatten(transform(
             transform(array({placed}), placed -> {again})[0], p -> array(p, p + 1, p + 2)))))"""))
     lines = F.expr("""transform(hashes, (h, j) -> struct(h as h, j as j,
-        xxhash64(get(hashes, j - 1), get(hashes, j + 1)) as beside,
         size(split(trim(both ' \\t\\n\\u000b\\f\\r' from parts[j]), '[ \\\\t-\\\\r]+')) as n))""")
     return rows.select(
-        "doc_id", "host", "key", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "host", "key", F.xxhash64("body").alias("same"), F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("body", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("parts") - F.size(F.array_distinct("parts"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"), lines.alias("lines"))
 
 
-def shared_lines(lines: DataFrame, sizes: DataFrame, limit_docs: int, limit_share: float,
-                 variety: float) -> DataFrame:
-    """(host, h) of the lines above the limits: held by more than ``limit_docs``
-    documents and more than ``limit_share`` of their host's, in surroundings
-    that differ. A passage that is copied with its surroundings is the business
-    of near-duplicate removal: the lines beside a shared line must differ in at
-    least ``variety`` of the documents."""
+def shared_lines(lines: DataFrame, limit_docs: int) -> DataFrame:
+    """(host, h) of the lines that more than ``limit_docs`` different texts of a host
+    hold. Copies of one text count once; the limit is the same for a host of any
+    size."""
     often = stable(lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
                    .filter(F.col("n") > limit_docs).select("host", "h"), "often")
-    held = (lines.join(often, ["host", "h"], "left_semi")
-            .groupBy("host", "h", "uid").agg(F.min_by("beside", "j").alias("beside"))
-            .groupBy("host", "h", "beside").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_beside")))
-    return (held.join(sizes, "host")
-            .filter((F.col("n_docs") > limit_docs) & (F.col("n_docs") > limit_share * F.col("host_docs"))
-                    & (F.col("n_beside") >= variety * F.col("n_docs"))).select("host", "h"))
+    return (lines.join(often, ["host", "h"], "left_semi").select("host", "h", "same").distinct()
+            .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > limit_docs).select("host", "h"))
 
 
 def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, limit_docs: int = 10,
-          limit_share: float = 0.002, variety: float = 0.5, min_left: float = 0.3) -> DataFrame:
+          min_left: float = 0.3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source; others are left out):
     the base columns, ``base_failed``, ``n_shared_words`` (in lines above the
     limits), ``kept``.
@@ -83,9 +75,8 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, limit_
     get equal rows; an empty table gives none.
     """
     rows = stable(measured(docs).withColumn("uid", F.monotonically_increasing_id()), "measured")
-    lines = rows.select("uid", "host", F.inline("lines"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    shared = stable(shared_lines(lines, sizes, limit_docs, limit_share, variety), "shared")
+    lines = rows.select("uid", "host", "same", F.inline("lines"))
+    shared = stable(shared_lines(lines, limit_docs), "shared")
     found = (lines.join(shared, ["host", "h"], "left_semi")
              .groupBy("uid").agg(F.sum("n").alias("n_shared_words")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))

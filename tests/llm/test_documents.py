@@ -267,3 +267,24 @@ def test_mixing_of_odd_rows(docs, empty):
     kept = mixing.sample(docs, rate=0.5)
     assert kept.columns == docs.columns
     assert mixing.probabilities(empty).count() == 0 and mixing.sample(empty).count() == 0
+
+
+def inner_lines(n, size):
+    """(rows, rows of copies): ``n`` texts that hold one three-line menu, in a host of ``size``."""
+    menu = "\n".join(prose(90 + k, 30) for k in range(3))
+    rows = [(i, "h", f"{prose(i, 12)}\n{menu}\n{prose(i + 500, 8)}") for i in range(n)]
+    rows += [(5000 + i, "h", prose(7, 60) + "\n" + menu) for i in range(40)]  # one text
+    return rows + [(10_000 + i, "h", "x") for i in range(size - len(rows))]
+
+
+@pytest.mark.parametrize("size", [100, 12_000])
+def test_inner_menu_lines_count_in_a_host_of_any_size(spark, size):
+    df = spark.createDataFrame(inner_lines(12, size), "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in quality.judge(df).filter("doc_id < 10000").collect()}
+    assert all(got[i].n_shared_words == 90 and not got[i].kept for i in range(12))
+    assert got[5000].n_shared_words == 90
+
+
+def test_copies_of_one_text_count_once(spark):
+    df = spark.createDataFrame(inner_lines(9, 60), "doc_id long, source string, text string")
+    assert all(r.n_shared_words == 0 for r in quality.judge(df).collect())
