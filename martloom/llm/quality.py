@@ -62,34 +62,56 @@ def shared_lines(lines: DataFrame, limit_docs: int) -> DataFrame:
             .filter(F.col("n") > limit_docs).select("host", "h"))
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, limit_docs: int = 10,
-          min_left: float = 0.3) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source; others are left out):
-    the base columns, ``base_failed``, ``n_shared_words`` (in lines above the
-    limits), ``kept``.
-
-    A document fails if it has fewer than ``min_words`` words, if more than
-    ``max_repeat_pct`` percent of its words repeat, or if its shared lines leave
-    less than ``min_left`` of its words. A null or empty text has no words and
-    fails; a null source is the host "". Repeated rows count as documents and
-    get equal rows; an empty table gives none.
-    """
+def _judged(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, limit_docs: int = 10,
+            min_left: float = 0.3) -> DataFrame:
+    """``judge`` with ``shared_at``, the places of the shared lines among the lines
+    with a word; null if there are none."""
     rows = stable(measured(docs).withColumn("uid", F.monotonically_increasing_id()), "measured")
     lines = rows.select("uid", "host", "same", F.inline("lines"))
     shared = stable(shared_lines(lines, limit_docs), "shared")
-    found = (lines.join(shared, ["host", "h"], "left_semi")
-             .groupBy("uid").agg(F.sum("n").alias("n_shared_words")))
+    found = (lines.join(shared, ["host", "h"], "left_semi").groupBy("uid").agg(
+        F.sum("n").alias("n_shared_words"), F.sort_array(F.collect_list("j")).alias("shared_at")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     shared_words = F.coalesce("n_shared_words", F.lit(0))
     return (rows.drop("lines").join(found, "uid", "left")
             .select("doc_id", "key", *BASE, failed.alias("base_failed"),
-                    shared_words.cast("long").alias("n_shared_words"),
+                    shared_words.cast("long").alias("n_shared_words"), "shared_at",
                     (~failed & (F.col("n_words") - shared_words >= min_left * F.col("n_words"))).alias("kept")))
 
 
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source; others are left out):
+    the base columns, ``base_failed``, ``n_shared_words`` (in lines above the
+    limits: more than ``limit_docs``, 10, texts of a host), ``kept``.
+
+    A document fails if it has fewer than ``min_words`` (50) words, if more than
+    ``max_repeat_pct`` (50) percent of its words repeat, or if its shared lines leave
+    less than ``min_left`` (0.3) of its words. A null or empty text has no words and
+    fails; a null source is the host "". Repeated rows count as documents and
+    get equal rows; an empty table gives none.
+    """
+    return _judged(docs, **options).drop("shared_at")
+
+
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, as they were."""
-    good = judge(docs, **options).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("doc_id", "source", "text") == F.col("_key")), "left_semi")
+    """The documents that are kept, without their shared lines: the other lines in
+    order, and ``n_chars``, if there is one, anew. Texts without shared lines are as
+    they were."""
+    # rows of equal keys have equal lines, so any of their places will do
+    good = _judged(docs, **options).filter("kept").groupBy(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.first("shared_at").alias("_shared_at"))
+    found = docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+                      & (F.xxhash64("doc_id", "source", "text") == F.col("_key")))
+    raw = F.split(F.col("text").cast("string"), "\n")
+    placed = F.filter(F.transform("_raw", lambda l, i: i), lambda i: F.trim(F.get(F.col("_raw"), i), F.lit(SPACE)) != "")
+    found = found.withColumn("_raw", raw).withColumn("_placed", placed)
+    left = F.array_except(F.transform("_raw", lambda l, i: i),
+                          F.transform("_shared_at", lambda j: F.get(F.col("_placed"), j)))
+    text = F.when(F.col("_shared_at").isNull(), F.col("text").cast("string")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get(F.col("_raw"), i)), "\n"))
+    found = found.withColumn("_text", text)
+    new = {"text": F.col("_text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_shared_at").isNull(), F.col("n_chars")).otherwise(
+            F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[new[c].alias(c) if c in new else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

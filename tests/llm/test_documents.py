@@ -288,3 +288,15 @@ def test_inner_menu_lines_count_in_a_host_of_any_size(spark, size):
 def test_copies_of_one_text_count_once(spark):
     df = spark.createDataFrame(inner_lines(9, 60), "doc_id long, source string, text string")
     assert all(r.n_shared_words == 0 for r in quality.judge(df).collect())
+
+
+def test_shared_lines_leave_the_kept_texts(spark):
+    bar = "Menu  Home 1 About"
+    texts = {i: f"{prose(i, 60)}\n\n {bar}\r\n{prose(i + 50, 9)}\n{bar.replace('1', str(i % 9))}\nend {i} {prose(i, 3)}" for i in range(12)}
+    texts[20] = prose(20, 70) + "\n\n own \n"
+    df = spark.createDataFrame([(i, t, "h", len(t)) for i, t in texts.items()], "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in quality.keep_good(df).collect()}
+    assert set(got) == set(texts) and quality.keep_good(df).schema == df.schema
+    for i, r in got.items():
+        want = "\n".join(x for x in texts[i].split("\n") if "Menu" not in x)
+        assert (r.text, r.n_chars) == (want, len(want))
