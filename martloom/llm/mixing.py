@@ -1,6 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 Native expressions only."""
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.stable import stable
@@ -39,27 +41,45 @@ def tempered(cells: DataFrame, dim: str, power: float, shares: dict | None = Non
     return sums.select(dim, (F.col("wish") * ((total or 0) / (wishes or 1))).alias("target"))
 
 
+class RakingWarning(UserWarning):
+    """Marginals that were not met."""
+
+
 def rake(cells: DataFrame, targets: dict, rounds: int = 30, within: float = 1e-3) -> DataFrame:
     """``cells`` (the dims, ``t`` tokens) with ``w``: the weights of the same zero
     pattern whose sums over each dim meet its targets. Each round scales the
-    weights to one dim after the other; it ends when every sum is within ``within``
-    of the total of its target, or after ``rounds``. The work is on cells, of which
-    there are as many as combinations of the dims' values."""
+    weights to one dim after the other; it ends when every sum differs from its own
+    target by ``within`` of that target at most. After ``rounds``, or three rounds in which
+    the worst sum comes no nearer (a pattern of zeros can rule targets out), it ends with a
+    RakingWarning that names it. The work is on cells, of which there are as many as combinations of the dims' values."""
     cells = stable(cells.withColumn("w", F.col("t").cast("double")), "cells")
-    total = cells.agg(F.sum("t")).first()[0] or 0
-    for _ in range(rounds):
+    worst, best, still = None, None, 0
+    for done in range(1, rounds + 1):
         for dim, target in targets.items():
             sums = cells.groupBy(dim).agg(F.sum("w").alias("m")).join(target, dim).select(
                 dim, F.when(F.col("m") > 0, F.col("target") / F.col("m")).otherwise(F.lit(0.0)).alias("factor"))
             cells = cells.join(sums, dim).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         cells = stable(cells, "cells")
-        # the last dim is met by construction; how far off are the others
+        # the last dim is met by construction, but for values that have no weight left
         off = None
-        for dim, target in list(targets.items())[:-1]:
-            one = cells.groupBy(dim).agg(F.sum("w").alias("m")).join(target, dim).select(F.abs(F.col("m") - F.col("target")).alias("d"))
+        for dim, target in targets.items():
+            one = cells.groupBy(dim).agg(F.sum("w").alias("m")).join(target, dim).select(
+                F.lit(dim).alias("dim"), F.col(dim).alias("value"), "target", "m",
+                F.when(F.col("target") > 0, F.abs(F.col("m") - F.col("target")) / F.col("target"))
+                .otherwise(F.lit(0.0)).alias("d"))
             off = one if off is None else off.unionByName(one)
-        if off is None or (off.agg(F.max("d")).first()[0] or 0) <= within * total:
+        worst = off.agg(F.max("d").alias("d"), F.max_by(F.struct("dim", "value", "target", "m"), "d").alias("at"),
+                        F.count_if(F.col("d") > within).alias("n")).first() if off is not None else None
+        if not worst or not worst.n:
+            return cells
+        still = still + 1 if best is not None and worst.d >= best * (1 - 1e-6) else 0
+        best = worst.d if best is None else min(best, worst.d)
+        if still == 3:
             break
+    if worst:
+        warnings.warn(f"raking ended after {done} rounds with {worst.n} sums further than {within:g} of their "
+                      f"targets from them; the worst is {worst.at.dim} {worst.at.value!r}: {worst.at.m:g} tokens for "
+                      f"{worst.at.target:g}", RakingWarning, stacklevel=2)
     return cells
 
 

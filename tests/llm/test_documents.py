@@ -300,3 +300,23 @@ def test_shared_lines_leave_the_kept_texts(spark):
     for i, r in got.items():
         want = "\n".join(x for x in texts[i].split("\n") if "Menu" not in x)
         assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_raking_meets_small_targets_too(spark):
+    """Each source has far less than 1e-3 of the tokens; language pulls them apart."""
+    r = np.random.default_rng(4)
+    rows = [(f"s{i}", f"l{k}", "prose", int(r.integers(1, 60) ** 2)) for i in range(3000) for k in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, t long")
+    targets = {d: mixing.tempered(cells, d, 0.7, {"l0": 0.8, "l1": 0.2} if d == "lang" else None) for d in mixing.DIMS}
+    done = mixing.rake(cells, targets).toPandas()
+    for dim, target in targets.items():
+        want = target.toPandas().set_index(dim).target
+        assert ((done.groupby(dim).w.sum().reindex(want.index) - want).abs() <= 1e-3 * want).all(), dim
+
+
+def test_raking_tells_what_it_could_not_meet(spark):
+    rows = [("a", "x", "prose", 10), ("b", "y", "prose", 10)]  # a diagonal: sources are languages
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, t long")
+    targets = {"source": mixing.tempered(cells, "source", 1.0), "lang": mixing.tempered(cells, "lang", 1.0, {"x": 0.9, "y": 0.1})}
+    with pytest.warns(mixing.RakingWarning, match="source"):
+        mixing.rake(cells, targets, rounds=2)
