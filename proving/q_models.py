@@ -91,8 +91,8 @@ def cus_4(s):
 
 @query("cus_5_churn_model")
 def cus_5(s):
-    """Scores from 20 boosting rounds (the library default is 200)."""
-    scored, auc = customers.churn_model(customers.churn_features(dated_orders(s)), max_iter=20)
+    """Scores from the default 200 boosting rounds."""
+    scored, auc = customers.churn_model(customers.churn_features(dated_orders(s)))
     return scored.withColumn("auc", F.lit(auc))
 
 
@@ -299,13 +299,13 @@ def del_2(s):
 
 @query("del_3_delivery_time_model")
 def del_3(s):
-    """Scores from 20 trees (the library default is 400)."""
-    return delivery.delivery_time_model(trips(s), trees=20)[2]
+    """Scores from the default 400 trees."""
+    return delivery.delivery_time_model(trips(s))[2]
 
 
 @query("del_4_delivery_factors")
 def del_4(s):
-    model, test, _ = delivery.delivery_time_model(trips(s), trees=20)
+    model, test, _ = delivery.delivery_time_model(trips(s))
     return delivery.delivery_factors(model, test)
 
 
