@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import classifier, imatch, license, mixing, pack, quality, repair, secrets, simhash, suffix_tree
+from . import audit, bpe, classifier, imatch, license, mixing, pack, quality, repair, secrets, simhash, suffix_tree
 
 QUERIES, ORACLES = {}, {}
 
@@ -123,3 +123,48 @@ def op6_secret_forest(spark, sf_dir):
 def op3_raked_mixture(spark, sf_dir):
     """Half of all tokens, with tempered source, language and topic marginals."""
     return mixing.probabilities(documents(spark, sf_dir), rate=0.5, power=0.7).drop("key")
+
+
+@query
+def op11_rank_array_bpe(spark, sf_dir):
+    """Ids of all texts and, from these ids, the texts again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_filter_diagrams(spark, sf_dir):
+    """Every order of five filters over all documents, per language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return audit.audit(audit.masks(documents(spark, sf_dir), labels))
+
+
+ORACLES["op13_filter_diagrams"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  told AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+      || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 3 * length(body) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails FROM d),
+  m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (g = 1) AS good, count(*) FILTER (t = 1) AS toxic
+    FROM told LEFT JOIN (SELECT doc_id, max(quality) AS g, max(toxic) AS t FROM labels GROUP BY doc_id) USING (doc_id)
+    GROUP BY part, fails),
+  l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  g AS (SELECT part, filter_order, fails, n, good, toxic, coalesce(list_min(list_transform(
+      list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: contains(fails, y)), lambda y: instr(filter_order, y))), 6) AS gone
+    FROM m, o),
+  r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x,
+      sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+      sum(n) FILTER (gone < step AND contains(fails, filter_order[step])) AS redundant,
+      sum(n) FILTER (fails = filter_order[step]) AS unique_fails,
+      sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+    FROM g, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r"""
