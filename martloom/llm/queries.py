@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.stable import scratch_path
-from . import audit, bpe, classifier, imatch, license, mixing, pack, quality, repair, secrets, simhash, suffix_tree
+from . import (audit, bpe, classifier, imatch, license, mixing, pack, quality, repair, secrets, simhash, suffix_tree,
+               trie)
 
 QUERIES, ORACLES = {}, {}
 
@@ -168,3 +169,46 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
   CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
   CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
   CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r"""
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    """The trie of the conversations rebuilt with shared beginnings."""
+    return trie.trie(trie.rebuilt(trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+#: CRC-32 of decimal ids by its byte table, for the SQL checks (fixed polynomial).
+CRC32_SQL = """
+  bits AS (SELECT range AS byte, list_reduce(list_prepend(CAST(range AS BIGINT), CAST(range(8) AS BIGINT[])),
+      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256)),
+  crcs AS (SELECT list(crc ORDER BY byte) AS t FROM bits)"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH {CRC32_SQL},
+  ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+  hashed AS (SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+      lambda s, d: xor(s >> 8, t[CAST(xor(s % 256, d) + 1 AS INTEGER)]))) % 9 AS h FROM ids, crcs),
+  turn AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  own AS (SELECT h.c, 1 AS part, pos, role, text FROM hashed h JOIN turn t ON t.c = h.c AND t.pos >= h.h),
+  lent AS (SELECT h.c, 0 AS part, pos, role, text FROM hashed h JOIN turn t ON t.c = h.base AND t.pos < h.h),
+  rebuilt AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth,
+      sha256(length(role) || ':' || role || text) AS turn, strlen(text) AS bytes
+    FROM (SELECT * FROM own UNION ALL SELECT * FROM lent)),
+  -- a prefix is the digest of its turns' digests
+  prefix AS (SELECT c, depth, bytes, sha256(string_agg(turn, ',') OVER (PARTITION BY c ORDER BY depth)) AS k,
+      count(*) OVER (PARTITION BY c) = depth AS is_end FROM rebuilt
+    UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM rebuilt) FROM ids),
+  node AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+      sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256
+    FROM prefix GROUP BY depth, k),
+  linked AS (SELECT n.*, p.k AS parent, q.conv_id AS parent_conv_id FROM node n
+    LEFT JOIN prefix p ON p.c = n.conv_id AND p.depth = n.depth - 1
+    LEFT JOIN node q ON q.depth = n.depth - 1 AND q.k = p.k),
+  kids AS (SELECT depth - 1 AS depth, parent AS k, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+  whole AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids USING (depth, k)),
+  sums AS (SELECT p.depth, p.k, sum((w.n_children = 0)::INT) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved_tokens
+    FROM whole w JOIN prefix p ON p.c = w.conv_id AND p.depth <= w.depth GROUP BY p.depth, p.k)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM whole JOIN sums USING (depth, k)"""
