@@ -37,13 +37,15 @@ def _signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and its 64-bit ``fp``. Lower-case A-Z, words between white space,
+def fingerprints(docs: DataFrame, width: int = 3, key: bool = False) -> DataFrame:
+    """doc_id and its 64-bit ``fp``, with ``key`` also the hash of the text itself. Lower-case A-Z, words between white space,
     shingles of ``width`` words (fewer words: all of them; none: fingerprint 0),
     XXH64 with seed 42; a bit is set if it is in over half the hashes. A null
     text has no words; other columns are left out."""
     joined = ", ' ', ".join(f"words[i + {k}]" for k in range(width))
-    hashed = docs.select(F.col("doc_id").cast("long"), words(lower_ascii(body("text"))).alias("words")).select("doc_id", F.expr(f"""
+    more = [F.xxhash64(body("text")).alias("key")] if key else []
+    hashed = docs.select(F.col("doc_id").cast("long"), *more, words(lower_ascii(body("text"))).alias("words")).select(
+        "doc_id", *(["key"] if key else []), F.expr(f"""
         case when size(words) >= {width}
              then transform(sequence(0, size(words) - {width}), i -> xxhash64(concat({joined})))
              when size(words) > 0 then array(xxhash64(array_join(words, ' ')))
@@ -61,9 +63,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                     some = flat[8 * at:8 * min(b, at + 100_000)].reshape(-1, 8)
                     ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[i] = np.packbits(2 * ones > b - a, bitorder="little").view(np.uint64)[0]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(out.view(np.int64))], names)
 
-    return hashed.mapInArrow(run, "doc_id long, fp long")
+    names = [*hashed.columns[:-1], "fp"]
+    return hashed.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def links(prints: DataFrame, field: int = 2) -> DataFrame:
@@ -117,17 +120,34 @@ def groups(docs: DataFrame, width: int = 3, field: int = 2) -> DataFrame:
     prints = stable(fingerprints(docs, width), "prints")
     # from here on the work is on distinct fingerprints: copies are one row
     distinct = stable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), field))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
+    rooted = _rooted(distinct, field)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each component, as it was; rows
-    that share that doc_id stay together."""
-    first = (groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _rooted(distinct, field):
+    """The rows of ``distinct`` (one per fingerprint) with their component's ``root``."""
+    roots = components(links(distinct.select("fp"), field))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
+
+
+def keep_first(docs: DataFrame, width: int = 3, field: int = 2) -> DataFrame:
+    """One row of each component, as it was: the one with the smallest doc_id (a null
+    one counts as larger than any), then with the smallest hash of its text. Of rows
+    that share both, any one stays. Columns may have any names."""
+    prints = fingerprints(docs, width, key=True)
+    # one row per fingerprint, its first document beside it
+    each = prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")
+    distinct = stable(each.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    first = stable(_rooted(distinct, field).groupBy("root").agg(F.min("first").alias("first"))
+                   .select("first.doc_id", "first.key", "first.n"), "first")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(body("text")).alias("text_key"))
+    found = rows.join(first, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
+    if not first.filter("n > 1").head(1):
+        return found.select("row.*")
+    again = found.filter("n > 1").dropDuplicates(["id", "key"])
+    return found.filter("n = 1").select("row.*").unionByName(again.select("row.*"))

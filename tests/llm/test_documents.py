@@ -133,11 +133,20 @@ def test_links_miss_no_pair(spark, field):
     assert {k: got.get(k, k) for k in want} == want
 
 
-def test_one_document_of_each_group_stays(docs):
+def test_one_document_of_each_group_stays(docs, spark):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 8 not in ids and ids.count(2) == 1 and 3 not in ids and None in ids
+    # one row of a group, whatever repeats; names that the operator could use itself
+    base, other = prose(1, 120), prose(2, 120)
+    rows = [(5, base, 1), (5, base, 1), (5, other, 2), (6, other, 2), (None, base, 3), (7, base + " end", 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumns(
+        {c: F.lit(c) for c in ("_kept", "_key", "row", "id", "key", "n", "text_key", "a`b.c")})
+    kept = simhash.keep_first(odd)
+    near = {r.doc_id: r.component_id for r in simhash.groups(odd.filter("doc_id = 7 or fp = 1")).collect()}
+    want = [(5, base), (5, other)] + ([(7, base + " end")] if near[7] == 7 else [])
+    assert kept.columns == odd.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
 
 
 def test_near_duplicates_of_nothing(empty):
