@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from martloom.llm import mixing, near, pack, quality, secrets
+from martloom.llm import mixing, pack, quality, secrets, simhash
 from martloom.operators.stable import stable
 
 
@@ -12,9 +12,9 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One row of each group of near copies stays: 5-word shingles, Jaccard similarity
-    of 0.8 or more."""
-    return near.keep_one(docs, width=5, similarity=0.8)
+    """One row of each group stays whose fingerprints of 3-word shingles link at 2 or
+    fewer differing bits."""
+    return simhash.keep_first(docs, width=3, field=2)
 
 
 def secret_scan(spark, docs, sf_dir):
