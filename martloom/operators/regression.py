@@ -1,99 +1,143 @@
 """Least squares for many series at once.
 
-Rows stay on Spark: the normal equations of every series are ordinary sums,
-grouped by (series, term, term) and combined before the shuffle. Only the
-finished p x p block of a series reaches numpy, to be solved. A row's design
-is a sparse array of (term, value), so dummies cost nothing.
+A row's design is an array of doubles in a fixed order of columns. Tasks add the
+cross products of their rows up, one block per series, and only these blocks, cell
+by cell, are shuffled and summed. A solve sees the p x p block of one series, never
+its rows.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-Y = "(y)"
-ONE = "(intercept)"
+#: Blocks that a task holds before it hands them on.
+HELD = 2_000
 
 
-def design(terms: Sequence[str], categorical: Sequence[str] = ()):
-    """Sparse design array of a row: intercept, dummies, numeric terms."""
-    def pair(name, value):
-        return F.struct(name.alias("term"), value.cast("double").alias("v"))
+def design(numeric: Sequence[str | Column], levels: Mapping[str, Sequence] | None = None) -> Column:
+    """Intercept, the numeric columns, then a dummy per level of each categorical
+    column; list all levels but one where the solution has to be unique."""
+    cells = [F.lit(1.0), *[(F.col(c) if isinstance(c, str) else c).cast("double") for c in numeric]]
+    for name, values in (levels or {}).items():
+        cells += [F.when(F.col(name).isNull(), None).otherwise((F.col(name) == v).cast("double")) for v in values]
+    return F.array(*cells)
 
-    cells = [pair(F.lit(ONE), F.lit(1.0))]
-    for t in terms:
-        if t in categorical:
-            cells.append(pair(F.concat(F.lit(f"{t}="), F.col(t).cast("string")), F.lit(1.0)))
-        else:
-            cells.append(pair(F.lit(t), F.col(t)))
-    return F.filter(F.array(*cells), lambda c: c["v"] != 0.0)
-
-
-def dot(beta, x):
-    """Predicted value of one row; a term the fit never saw counts 0."""
-    return F.aggregate(x, F.lit(0.0), lambda acc, c: acc + c["v"] * F.coalesce(
-        F.try_element_at(beta, c["term"]), F.lit(0.0)))
 
+def known(x: str) -> Column:
+    """Whether every cell of a design is a number."""
+    return ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
 
-def gram(df: DataFrame, series: Sequence[str], x: str, y: str, weight: str | None = None):
-    """Sums of w * xi * xj over each series, the response being one more term."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    cells = F.array_append(F.col(x), F.struct(
-        F.lit(Y).alias("term"), F.col(y).cast("double").alias("v")))
-    # at most (terms in the row)^2 cells per row, summed before the shuffle
-    left = df.select(*series, w.alias("_w"), cells.alias("_x"), F.explode(cells).alias("_a"))
-    both = left.select(*series, "_w", "_a", F.explode("_x").alias("_b")).filter(
-        F.col("_a.term") <= F.col("_b.term"))
-    return both.groupBy(*series, F.col("_a.term").alias("i"), F.col("_b.term").alias("j")).agg(
-        F.sum(F.col("_w") * F.col("_a.v") * F.col("_b.v")).alias("s"))
 
+def dot(x, beta) -> Column:
+    """Fitted value of a row."""
+    return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
-def solve(grams: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Minimum-norm least squares per series from its normal equations.
 
-    Returns the coefficients as a map, the residual sum of squares, the
-    weight total and the rank. Redundant dummies need no dropping: fitted
-    values do not depend on which solution is taken.
-    """
+def moments(df: DataFrame, series: Sequence[str], x: str, y: str,
+            weight: str | None = None) -> DataFrame:
+    """(series, ``cell``, ``s``): sums of w * z_i * z_j over each series, z being the
+    design and then the response, at cell i * (p + 1) + j; the cell after the last of
+    them counts rows. A task holds about ``HELD`` series before it hands them on."""
     series = list(series)
-    out = T.StructType([grams.schema[c] for c in series] + [
-        T.StructField("terms", T.ArrayType(T.StringType())),
-        T.StructField("coefs", T.ArrayType(T.DoubleType())),
-        T.StructField("rss", T.DoubleType()), T.StructField("n", T.DoubleType()),
-        T.StructField("rank", T.IntegerType())])
-
-    def one(block: pd.DataFrame) -> pd.DataFrame:
-        names = sorted((set(block["i"]) | set(block["j"])) - {Y})
-        at = {n: k for k, n in enumerate(names)}
-        a, b, yy = np.zeros((len(names), len(names))), np.zeros(len(names)), 0.0
-        for i, j, s in zip(block["i"], block["j"], block["s"]):
-            if i == Y and j == Y:
-                yy = s
-            elif i == Y or j == Y:
-                b[at[j if i == Y else i]] = s
-            else:
-                a[at[i], at[j]] = a[at[j], at[i]] = s
-        size = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-        scaled = a / np.outer(size, size)
-        inv = np.linalg.pinv(scaled, rcond=1e-10, hermitian=True)
-        coef = inv @ (b / size) / size
-        rank = int(np.linalg.matrix_rank(scaled, tol=1e-10, hermitian=True))
-        row = [block[c].iloc[0] for c in series]
-        return pd.DataFrame([row + [names, coef.tolist(), float(max(yy - b @ coef, 0.0)),
-                                    float(a[at[ONE], at[ONE]]), rank]],
-                            columns=[f.name for f in out.fields])
-
-    keyed = grams if series else grams.withColumn("_all", F.lit(0))
-    solved = keyed.groupBy(*(series or ["_all"])).applyInPandas(one, out)
-    return (solved.withColumn("beta", F.map_from_arrays("terms", "coefs"))
-            .drop("terms", "coefs"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*series, F.array_append(F.col(x), F.col(y).cast("double")).alias("z"), w.alias("w"))
+    out = T.StructType([*[rows.schema[c] for c in series], T.StructField("block", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            w = batch.column("w").to_numpy(zero_copy_only=False)
+            places = {}
+            for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in series]) if series else [()] * len(z)):
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                block = np.append((z[at] * w[at, None]).T @ z[at], len(at))
+                held[key] = held[key] + block if key in held else block
+            if len(held) > HELD:
+                yield blocks(held)
+                held = {}
+        if held:
+            yield blocks(held)
+
+    def blocks(held):
+        keys = [pa.array(k, types[c]) for c, k in zip(series, zip(*held))] if series else []
+        return pa.record_batch([*keys, pa.array([b.tolist() for b in held.values()], pa.list_(pa.float64()))],
+                               [*series, "block"])
+
+    types = {c: to_arrow_type(rows.schema[c].dataType) for c in series}
+    return (rows.mapInArrow(run, out).select(*series, F.posexplode("block").alias("cell", "s"))
+            .groupBy(*series, "cell").agg(F.sum("s").alias("s")))
+
+
+def minimum_norm(a, b):
+    """(coefficients, rank) of the normal equations a x = b, scaled to unit diagonal;
+    of several solutions the smallest one."""
+    size = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    scaled = a / np.outer(size, size)
+    inverse = np.linalg.pinv(scaled, rcond=1e-10, hermitian=True)
+    return inverse @ (b / size) / size, int(np.linalg.matrix_rank(scaled, tol=1e-10, hermitian=True))
+
+
+def penalised(a, b, yy, n, soft, shrink, rounds=3):
+    """(coefficients, degrees of freedom, residual sum of squares) where the columns
+    ``soft`` have a normal prior around 0 with deviation ``shrink``. How hard it holds
+    depends on the noise: at first what a fit without these columns leaves, then
+    what the last fit left, for ``rounds`` fits."""
+    hard = ~soft
+    first, rank = minimum_norm(a[np.ix_(hard, hard)], b[hard])
+    noise = max(yy - b[hard] @ first, 0.0) / max(n - rank, 1.0)
+    for _ in range(rounds):
+        full = a + np.diag(np.where(soft, noise / shrink ** 2, 0.0))
+        coef, _ = minimum_norm(full, b)
+        size = np.sqrt(np.where(np.diag(full) > 0, np.diag(full), 1.0))
+        scale = np.outer(size, size)
+        used = float(np.trace(np.linalg.pinv(full / scale, rcond=1e-10, hermitian=True) @ (a / scale)))
+        rss = float(max(yy - 2 * b @ coef + coef @ a @ coef, 0.0))
+        noise = rss / max(n - used, 1.0)
+    return coef, used, rss
+
+
+def solve(sums: DataFrame, series: Sequence[str], soft_from: int | None = None,
+          shrink: float = 1.0) -> DataFrame:
+    """Least squares per series from :func:`moments`: ``beta``, the residual sum of
+    squares ``rss``, the weight total ``n``, the degrees of freedom ``used`` and the
+    number of rows. Columns from ``soft_from`` on are penalised; without it, the
+    minimum-norm solution, so that redundant dummies need no dropping."""
+    series = list(series)
+    out = T.StructType([*[sums.schema[c] for c in series], *[
+        T.StructField(c, t) for c, t in (("beta", T.ArrayType(T.DoubleType())), ("rss", T.DoubleType()),
+                                         ("n", T.DoubleType()), ("used", T.DoubleType()), ("rows", T.LongType()))]])
+
+    def one(cells: pd.DataFrame) -> pd.DataFrame:
+        s = cells.sort_values("cell")["s"].to_numpy()
+        p = int(round(np.sqrt(len(s) - 1))) - 1
+        z = s[:-1].reshape(p + 1, p + 1)
+        a, b, yy = z[:p, :p], z[:p, p], z[p, p]
+        if soft_from is None:
+            coef, used = minimum_norm(a, b)
+            rss = float(max(yy - b @ coef, 0.0))
+        else:
+            coef, used, rss = penalised(a, b, yy, z[0, 0], np.arange(p) >= soft_from, shrink)
+        return pd.DataFrame([[*(cells[c].iloc[0] for c in series), coef.tolist(), rss, float(z[0, 0]), float(used),
+                              int(s[-1])]], columns=[f.name for f in out.fields])
+
+    keyed = sums if series else sums.withColumn("_all", F.lit(0))
+    return keyed.groupBy(*(series or ["_all"])).applyInPandas(one, out)
 
 
 def attach(df: DataFrame, table: DataFrame, series: Sequence[str], *columns: str) -> DataFrame:
-    """Put per-series columns on every row."""
+    """Put per-series columns on every row; a null key is a series of its own."""
     if series:
-        return df.join(table.select(*series, *columns), list(series))
+        keys = table.select(*[F.col(c).alias(f"_of_{c}") for c in series], *columns)
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in series]
+        return df.join(keys, same).drop(*[f"_of_{c}" for c in series])
     one = table.agg(F.first(F.struct(*columns)).alias("s")).scalar()
     return df.withColumn("_s", one).select("*", *[F.col(f"_s.{c}").alias(c) for c in columns]
                                            ).drop("_s")

@@ -13,6 +13,7 @@ from martloom.plans import marts, reports
 from .oracle_base import day, eur, ratio, register, sql
 from .q_reports import effect_days
 from .registry import query
+from .solving import register_forecast, register_predictions
 
 # --------------------------------------------------------------- customers
 
@@ -347,15 +348,39 @@ def fct_2(s):
     return future(s)
 
 
-@query("fct_3_fit_forecast")
+register_forecast("whole", "SELECT * FROM kpi", ["kpi"])
+register_forecast("early", "SELECT * EXCLUDE back FROM (SELECT *, row_number() OVER (ORDER BY full_date DESC) AS back "
+                  "FROM kpi) WHERE back > 28", ["kpi"])
+register("late_days", """
+  SELECT full_date AS ds, orders AS y, precipitation_mm AS mm, temp_mean_c AS tc, coalesce(is_rainy::INT, 0) AS rain,
+    coalesce(is_public_holiday::INT, 0) AS ph, coalesce(is_school_holiday::INT, 0) AS sh,
+    lag(orders, 7) OVER (ORDER BY full_date) AS earlier, row_number() OVER (ORDER BY full_date DESC) AS back
+  FROM kpi""", ["kpi"])
+register_predictions("tested", "early", "SELECT * FROM late_days WHERE back <= 28", ["late_days"])
+
+
+@query("fct_3_fit_forecast", sql("whole_fit whole_place", f"""
+SELECT term, round(coefficient, 6) AS coefficient, round(sigma, 6) AS sigma, round(bend, 6) AS bend
+FROM (SELECT unnest([{', '.join(repr(t) for t in forecast.TERMS)}, *[f'bend={{k}}' for k in range(1, 26)]]) AS term,
+  unnest(beta) AS coefficient, sigma, bend FROM whole_fit)""".replace(
+    "*[f'bend={k}' for k in range(1, 26)]", ", ".join(f"'bend={k}'" for k in range(1, 26)))))
 def fct_3(s):
+    """Every coefficient of the fit, slope changes included."""
     model = forecast.fit_forecast(forecast.forecast_frame(kpi_full(s)))
-    return model.select(F.explode("beta").alias("term", "coefficient"), "sigma")
+    names = F.array(*[F.lit(t) for t in (*forecast.TERMS, *[f"bend={k + 1}" for k in range(forecast.BENDS)])])
+    return model.select(F.inline(F.arrays_zip(names.alias("term"), F.col("beta").alias("coefficient"))),
+                        "sigma", "bend").select(
+        "term", *[F.round(c, 6).alias(c) for c in ("coefficient", "sigma", "bend")])
 
 
-@query("fct_4_backtest")
+@query("fct_4_backtest", sql("tested", """
+SELECT count(*) AS days, round(avg(abs(yhat - y)), 6) AS mae, round(avg(abs(yhat - y) / y), 6) AS mape,
+  round(avg((y BETWEEN yhat_lower AND yhat_upper)::INT), 6) AS covered, round(avg(abs(y - earlier)), 6) AS naive_mae,
+  round(1 - avg(abs(yhat - y)) / avg(abs(y - earlier)), 6) AS improvement FROM tested"""))
 def fct_4(s):
-    return forecast.skill(stable(forecast.forecast_frame(s.kpi), "frame"))
+    skill = forecast.skill(stable(forecast.forecast_frame(s.kpi), "frame"))
+    return skill.select("days", *[F.round(c, 6).alias(c) for c in
+                                  ("mae", "mape", "covered", "naive_mae", "improvement")])
 
 
 @query("fct_5_naive_baseline", sql("kpi", """
@@ -379,12 +404,37 @@ def forecasted(s):
     return forecast.forecast_daily(model, future(s), kpi)
 
 
-@query("fct_6_forecast_daily")
+register("ahead", """
+  SELECT ds, coalesce(last_value(mm IGNORE NULLS) OVER a, first_value(mm IGNORE NULLS) OVER b) AS mm,
+    coalesce(last_value(t IGNORE NULLS) OVER a, first_value(t IGNORE NULLS) OVER b) AS tc,
+    coalesce(mm > 2.0, FALSE)::INT AS rain, (u % 30 = 0)::INT AS ph, (ds IN (SELECT full_date FROM school))::INT AS sh
+  FROM (SELECT full_date AS ds, u, CASE WHEN u % 6 <> 0 THEN mm_raw / 100.0::DOUBLE END AS mm,
+          CASE WHEN u % 6 <> 0 THEN temp_raw END AS t
+        FROM weather, (SELECT max(full_date) - 21 AS last FROM head)
+        WHERE full_date BETWEEN last + 1 AND last + 14)
+  WINDOW a AS (ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    b AS (ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""", ["weather", "school", "head"])
+register("history", "SELECT * FROM kpi WHERE full_date < (SELECT min(ds) FROM ahead)", ["kpi", "ahead"])
+register_forecast("past", "SELECT * FROM history", ["history"])
+register_predictions("coming", "past", "SELECT * FROM ahead", ["ahead"])
+register("forecasted", """
+  SELECT ds, round_even(yhat, 0)::BIGINT AS orders_forecast, round_even(greatest(yhat_lower, 0), 0)::BIGINT AS orders_lower,
+    round_even(yhat_upper, 0)::BIGINT AS orders_upper, round_even(tc, 1) AS temp_mean_c,
+    round_even(mm, 1) AS precipitation_mm, rain = 1 AS is_rainy, ph = 1 AS is_public_holiday,
+    round_even(round_even(yhat, 0) * aov, 2) AS revenue_forecast
+  FROM coming, (SELECT sum(gross_c) / 100.0::DOUBLE / sum(orders) AS aov FROM (
+    SELECT *, row_number() OVER (ORDER BY full_date DESC) AS back FROM history) WHERE back <= 28)""",
+         ["coming", "history"])
+
+
+@query("fct_6_forecast_daily", sql("forecasted", f"""
+SELECT {day('ds', 'full_date')}, dayname(ds) AS day_name, * EXCLUDE ds FROM forecasted"""))
 def fct_6(s):
     return forecasted(s)
 
 
-@query("rep_7_forecast_totals")
+@query("rep_7_forecast_totals", sql("forecasted", """
+SELECT CAST(sum(orders_forecast) AS BIGINT) AS orders, round(sum(revenue_forecast), 2) AS revenue FROM forecasted"""))
 def rep_7(s):
     return reports.forecast_totals(forecasted(s))
 
