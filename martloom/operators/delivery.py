@@ -12,7 +12,8 @@ from .. import fixed_values as V
 from ..functions import half_even, safe_ratio, value_map
 from .aggregate import group_quantiles
 from .customers import hash_split
-from .order import global_rank, number_rows
+from .order import number_rows
+from .shapley import forest_of, mean_absolute
 from .stable import stable
 
 
@@ -49,7 +50,7 @@ def promise_times(deliveries: DataFrame, level: float = 0.80, step: int = 5,
         F.count(F.lit(1)).alias("orders"), F.avg("actual_min").alias("_avg"),
         (F.avg(F.col("is_late").cast("int")) * 100).alias("_late"))
     q = group_quantiles(deliveries, ["zone_key"], "actual_min", [level, 0.95],
-                        ["_level", "_p95"])
+                        ["_level", "_p95"], small_domain=True)
     exact = F.round("_level", 9)
     return stats.join(q, "zone_key").select(
         *zone, "orders", half_even("_avg", 1).alias("avg_min"),
@@ -91,36 +92,14 @@ def model_mae(model, test: DataFrame) -> float:
 
 
 def delivery_factors(model, test: DataFrame,
-                     features: Sequence[str] = tuple(V.DELIVERY_FEATURES),
-                     key: str = "order_key", seed: int = 7) -> DataFrame:
-    """Minutes of extra error when one feature is replaced by another row's.
-
-    Every test row gets a donor row: two independent distributed rankings of
-    the keys are joined on position. Each row is then scored once as it is
-    and once per feature, in a single pass.
-    """
-    features = list(features)
-    slots = global_rank(test.select(key, "label", *features),
-                        [F.xxhash64(F.lit(seed), key), key], "_slot")
-    donors = global_rank(test.select(key, *features),
-                         [F.xxhash64(F.lit(seed + 1), key), key], "_slot").select(
-                             "_slot", F.struct(*features).alias("_donor"))
-    variants = (slots.join(donors, "_slot")
-                .withColumn("feature", F.explode(F.array(
-                    F.lit(""), *[F.lit(f) for f in features])))
-                .withColumns({f: F.when(F.col("feature") == f, F.col(f"_donor.{f}"))
-                              .otherwise(F.col(f)) for f in features}))
-    mae = model.transform(variants).groupBy("feature").agg(
-        F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"))
-    mae = stable(mae, "importance")
-    base = mae.filter(F.col("feature") == "").select("mae").scalar()
-    effect = mae.filter(F.col("feature") != "").select(
-        "feature", half_even(F.greatest(F.col("mae") - base, F.lit(0.0)), 3)
-        .alias("mean_abs_effect"))
-    total = effect.agg(F.sum("mean_abs_effect").alias("t")).scalar()
-    shared = effect.withColumn("share_of_effect", half_even(
-        F.try_divide(F.col("mean_abs_effect"), total), 4))
-    return number_rows(shared, [F.col("mean_abs_effect").desc(), "feature"], "rank")
+                     features: Sequence[str] = tuple(V.DELIVERY_FEATURES)) -> DataFrame:
+    """What drives the minutes of the test rows: the mean absolute Shapley value of
+    each feature, its share of all, and its rank."""
+    effect = stable(mean_absolute(test, forest_of(model.stages[-1]), features), "factors").select(
+        "feature", half_even("mean_abs_shap", 3).alias("mean_abs_shap"))
+    total = effect.agg(F.sum("mean_abs_shap").alias("t")).scalar()
+    shared = effect.withColumn("share_of_effect", half_even(F.try_divide(F.col("mean_abs_shap"), total), 4))
+    return number_rows(shared, [F.col("mean_abs_shap").desc(), "feature"], "rank")
 
 
 def late_by_distance(deliveries: DataFrame) -> DataFrame:
