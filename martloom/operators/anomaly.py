@@ -2,23 +2,20 @@
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .. import fixed_values as V
 from ..functions import half_even
 from .aggregate import median_mad
 from .order import number_rows
+from .robust import huber_fit, with_residuals
 from .stable import stable
 
 KNOWN_DRIVERS = ("day_of_week", "is_rainy_i", "ph", "sh", "temp_mean_c")
 # month belongs to demand only: the ratios have no seasonal cause
 TERMS = {"orders": (*KNOWN_DRIVERS, "month"), "discount_rate": KNOWN_DRIVERS,
          "waste_pct": KNOWN_DRIVERS, "late_rate_pct": KNOWN_DRIVERS}
-CATEGORICAL = ("day_of_week", "month")
-HUBER_T = 1.345
-MAD_TO_SIGMA = 0.6744897501960817
+CATEGORICAL = {"day_of_week": range(1, 8), "month": range(1, 13)}
 
 
 def anomaly_metrics(kpi: DataFrame) -> DataFrame:
@@ -50,54 +47,29 @@ def metric_rows(df: DataFrame, metrics: Mapping[str, Sequence[str]] = TERMS,
 
 
 def robust_residuals(rows: DataFrame, by: Sequence[str] = (),
-                     metrics: Mapping[str, Sequence[str]] = TERMS, max_iter: int = 50,
-                     tol: float = 1e-8, day: str = "full_date") -> DataFrame:
+                     metrics: Mapping[str, Sequence[str]] = TERMS, max_iter: int = 60,
+                     tol: float = 1e-8) -> DataFrame:
     """Residuals of a Huber M-estimate per series (``by`` + metric), and whether
-    its iteration ``converged``.
-
-    Scale is the median absolute residual about zero; a series stops when its
-    deviance moves less than ``tol`` (relative). A series is daily: it has one
-    row per ``day`` at most, 36,525 in a century, and is fitted where its rows
-    are, in one shuffle for all series. Rows that repeat a day are refused.
-    """
+    its iteration ``converged``. Rows of a series may be of any grain and number; only
+    sums over them meet in a task."""
     series = [*by, "metric"]
-    kept = [f for f in rows.schema.fields]
-    out = StructType([*kept, StructField("resid", DoubleType()), StructField("converged", BooleanType())])
-
-    def one(pdf):
-        if pdf[day].duplicated().any():
-            raise ValueError("a daily series has one row per day")
-        columns = [np.ones(len(pdf))]
-        for t in metrics[pdf["metric"].iloc[0]]:
-            v = pdf[t].to_numpy(dtype=float)
-            columns += [(v == level).astype(float) for level in np.unique(v)] \
-                if t in CATEGORICAL else [v]
-        resid, converged = huber_residuals(
-            np.column_stack(columns), pdf["value"].to_numpy(dtype=float), max_iter, tol)
-        return pdf.assign(resid=resid, converged=converged)
-
-    return rows.groupBy(*series).applyInPandas(one, out)
-
-
-def huber_residuals(x, y, max_iter, tol):
-    """(residuals, converged) of one series by iteratively re-weighted least squares."""
-    weight, before, converged = np.ones(len(y)), np.inf, False
-    for _ in range(max_iter + 1):
-        root = np.sqrt(weight)
-        resid = y - x @ np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
-        scale = np.median(np.abs(resid)) / MAD_TO_SIGMA
-        if scale <= 1e-9 * np.abs(y).max(initial=0):  # an exact fit but for rounding
-            converged = True
-            break
-        u = np.abs(resid) / scale
-        inside = u <= HUBER_T
-        deviance = np.where(inside, u * u / 2, HUBER_T * u - HUBER_T ** 2 / 2).sum()
-        if abs(before - deviance) <= tol * max(deviance, 1.0):
-            converged = True
-            break
-        before = deviance
-        weight = np.where(inside, 1.0, HUBER_T / np.maximum(u, HUBER_T))
-    return resid, converged
+    terms = list(dict.fromkeys(t for ts in metrics.values() for t in ts))
+    placed = rows.withColumn("_x", _metric_design(terms, metrics))
+    fitted = huber_fit(placed, series, "_x", "value", max_iter, tol)
+    return with_residuals(placed, fitted, series, "_x", "value").drop("_x")
+
+
+def _metric_design(terms, metrics):
+    """One design for all metrics: a term that a metric's model lacks is 0 there."""
+    def mine(t, c):
+        of = [m for m, ts in metrics.items() if t in ts]
+        return F.when(F.col("metric").isin(of), c.cast("double")).otherwise(0.0)
+
+    cells = [F.lit(1.0)]
+    for t in terms:
+        levels = CATEGORICAL.get(t)
+        cells += [mine(t, F.col(t))] if levels is None else [mine(t, F.col(t) == v) for v in levels]
+    return F.array(*cells)
 
 
 def group_mad_z(df: DataFrame, resid: str, group: Sequence[str], out: str = "z",
@@ -128,7 +100,7 @@ def flag_anomalies(df: DataFrame, threshold: float = 3.0, by: Sequence[str] = ()
 
 
 def anomaly_daily(kpi: DataFrame, threshold: float = 3.0, by: Sequence[str] = (),
-                  max_iter: int = 50) -> DataFrame:
+                  max_iter: int = 60) -> DataFrame:
     """Metrics, robust residuals, weekday scaling and flags in one go."""
     rows = metric_rows(anomaly_metrics(kpi), keep=(*by, "full_date", "day_name", "day_of_week"))
     # stored: the scaling reads the residuals three times, the fit runs once

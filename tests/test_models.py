@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from martloom.operators import anomaly, basket, customers, delivery
+from martloom.operators import anomaly, basket, customers, delivery, robust
+from martloom.operators.stable import stable
 from helpers import dicts, table
 
 D0 = dt.date(2026, 1, 1)
@@ -174,8 +175,46 @@ def test_fit_says_whether_it_converged(kpi):
     rows = anomaly.metric_rows(anomaly.anomaly_metrics(kpi))
     assert anomaly.robust_residuals(rows).filter("not converged").count() == 0
     assert anomaly.robust_residuals(rows, max_iter=1).filter("not converged").count() > 0
-    with pytest.raises(Exception, match="one row per day"):
-        anomaly.robust_residuals(rows.unionByName(rows)).count()
+
+
+def huber(x, y):
+    """Residuals and scale by iterated weighted least squares over the rows themselves."""
+    weight, before = np.ones(len(y)), np.inf
+    for _ in range(200):
+        root = np.sqrt(weight)
+        resid = y - x @ np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
+        scale = np.median(np.abs(resid)) / 0.6744897501960817
+        u = np.abs(resid) / scale
+        loss = np.where(u <= 1.345, u * u / 2, 1.345 * u - 1.345 ** 2 / 2).sum()
+        if abs(before - loss) <= 1e-12 * max(loss, 1):
+            break
+        before, weight = loss, np.where(u <= 1.345, 1, 1.345 / np.maximum(u, 1.345))
+    return resid, scale
+
+
+def test_huber_fit_against_the_rows(spark):
+    """Series of any size and scale, a redundant column, an even and an odd number of rows,
+    outliers, an exact fit and a null key."""
+    r, rows, want = np.random.default_rng(0), [], {}
+    for g, (n, noise) in enumerate([(50, 1), (51, 0.1), (1200, 5), (700, 1e3)]):
+        x = np.column_stack([np.ones(n), r.normal(size=n), r.integers(0, 2, n)])
+        x = np.column_stack([x, 1 - x[:, 2]])
+        y = x[:, :3] @ [3, 1.5, -2] + r.standard_t(2, n) * noise
+        y[:n // 8] += 20 * noise
+        key = None if g == 1 else g
+        want[key] = huber(x, y)
+        rows += [(key, i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    rows += [(9, i, [1.0, float(i), 0.0, 1.0], 2.0 * i + 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "g int, i int, x array<double>, y double").repartition(6)
+    fitted = stable(robust.huber_fit(df, ["g"], "x", "y"), "fit")
+    assert {x.g: x.converged for x in fitted.collect()} == {None: True, 0: True, 2: True, 3: True, 9: True}
+    got = {}
+    for x in robust.with_residuals(df, fitted, ["g"], "x", "y").collect():
+        got.setdefault(x.g, {})[x.i] = x.resid
+    for g, (resid, scale) in want.items():
+        assert np.abs([got[g][i] for i in range(len(resid))] - resid).max() < 1e-6 * scale
+    assert max(map(abs, got[9].values())) < 1e-9
+    assert robust.huber_fit(df.limit(0), ["g"], "x", "y").count() == 0
 
 
 def test_mad_fallbacks(spark):
