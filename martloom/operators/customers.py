@@ -34,7 +34,7 @@ def rfm(orders: DataFrame, customer: str = "customer_key", date: str = "full_dat
         F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
     base = stable(base.withColumn("recency_days", F.datediff(asof, "last_order"))
                   .withColumn("tenure_days", F.datediff(asof, "first_order")), "rfm")
-    scored = value_quintile(base, "recency_days", "r_score", reverse=True)
+    scored = value_quintile(base, "recency_days", "r_score", reverse=True, small_domain=True)
     scored = rank_quintile(scored, "frequency", ["customer_key"], "f_score")
     scored = rank_quintile(scored, "monetary", ["customer_key"], "m_score")
     return scored.select(

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import col
+from .regression import attach
 from .stable import stable
 
 
@@ -119,23 +120,22 @@ def sort_rows(df: DataFrame, *order) -> DataFrame:
 
 
 def value_quintile(df: DataFrame, value: str, out: str, reverse: bool = False,
-                   by: Sequence[str] = (), buckets: int = 5) -> DataFrame:
+                   by: Sequence[str] = (), buckets: int = 5, small_domain: bool = False) -> DataFrame:
     """Quantile bucket of a value: 1 + number of inner edges below it.
 
     Edges interpolate linearly; repeated edges merge their buckets instead of
-    failing. The value should have a bounded domain (days, minutes): the edge
-    aggregate keeps one counter per distinct value.
+    failing. ``small_domain`` (days, minutes) finds the edges with one counter per
+    distinct value.
     """
-    probs = ", ".join(str(round(i / buckets, 10)) for i in range(1, buckets))
-    edges = F.transform(F.expr(f"percentile({value}, array({probs}))"),
-                        lambda e: F.round(e, 9))
-    if by:
-        wide = df.join(df.groupBy(*by).agg(edges.alias("_edges")), list(by))
-    else:
-        wide = df.withColumn("_edges", df.agg(edges.alias("e")).scalar())
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    from .aggregate import group_quantiles  # it builds on this module
+
+    names = [f"_edge{i}" for i in range(1, buckets)]
+    edges = group_quantiles(df, by, value, [round(i / buckets, 10) for i in range(1, buckets)], names,
+                            small_domain=small_domain)
+    wide = attach(df, edges, by, *names)
+    below = sum((F.when(F.round(e, 9) < F.col(value), 1).otherwise(0) for e in names), F.lit(0))
     bucket = (F.lit(buckets) - below) if reverse else (below + 1)
-    return wide.withColumn(out, bucket.cast("int")).drop("_edges")
+    return wide.withColumn(out, F.when(F.col(value).isNotNull(), bucket.cast("int"))).drop(*names)
 
 
 def rank_quintile(df: DataFrame, value: str, tiebreak: Sequence[str], out: str,

@@ -43,15 +43,39 @@ def test_running_total(skewed):
     assert (got.sort_index() == want.sort_index()).all()
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_quantiles(skewed, wide):
+@pytest.mark.parametrize("how", [{}, {"few": 20}, {"wide_domain": True}, {"small_domain": True}])
+def test_quantiles(skewed, how):
     df, pdf = skewed
-    got = aggregate.group_quantiles(df, ["g"], "v", [0.5, 0.8, 0.95], ["a", "b", "c"],
-                                    wide_domain=wide).toPandas().set_index("g").sort_index()
+    got = aggregate.group_quantiles(df, ["g"], "v", [0.5, 0.8, 0.95], ["a", "b", "c"], **how).toPandas().set_index("g").sort_index()
     want = pdf.groupby("g")["v"].quantile([0.5, 0.8, 0.95]).unstack().sort_index()
     assert np.allclose(got.to_numpy(), want.to_numpy())
 
 
+def test_narrowed_quantiles_of_odd_groups(spark):
+    """Ties over the wanted rank, values of any size, one row, null keys and values."""
+    r = np.random.default_rng(1)
+    groups = {"tied": [5.0] * 3000 + [1.0] * 10, "wide": [10.0 ** e for e in r.uniform(-300, 300, 4000)],
+              "signed": r.normal(size=5000).tolist(), "one": [7.0], None: r.normal(size=2500).round(1).tolist(),
+              "few": [1.0, 2.0], "split": [0.0] * 2000 + [9.0] * 2000}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for few in (50, 100_000):
+        got = {x.g: list(x)[1:] for x in aggregate.group_quantiles(df, ["g"], "v", probs, list("abcde"), few=few).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, probs), rtol=1e-12), (g, few)
+    assert aggregate.group_quantiles(df.limit(0), ["g"], "v", probs, list("abcde")).count() == 0
+
+
+@pytest.mark.parametrize("few", [30, 100_000])
+def test_quantiles_need_no_percentile(spark, few):
+    """Neither plan holds a group's values in an aggregate buffer."""
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7.5).alias("v"))
+    got = aggregate.group_quantiles(df, ["g"], "v", [0.5], few=few)
+    assert "percentile(" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quantiles_without_groups(skewed):
     df, pdf = skewed
     got = aggregate.group_quantiles(df, [], "v", [0.37], ["q"], wide_domain=True).first()["q"]
