@@ -8,11 +8,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.operators import anomaly, basket, customers, delivery, forecast
+from martloom.operators import anomaly, basket, customers, delivery, forecast, quality
 from martloom.operators.stable import release, stable
 from martloom.plans import marts
 from martloom.sources.schemas import SCHEMAS
-from martloom.sources.sinks import manifest, write_mart
+from martloom.sources.shelf import Shelf
+from martloom.sources.sinks import manifest
 from martloom.sources.tables import read_table
 
 MARTS = ["dim_date", "dim_item", "dim_zone", "dim_channel", "dim_driver", "dim_customer",
@@ -43,20 +44,32 @@ def build_marts(core: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "daily_entry": entries, "daily_actuals": marts.daily_actuals(kpi, entries)}
 
 
-def rebuild(spark: SparkSession, core: Mapping[str, DataFrame], out_root: str) -> DataFrame:
-    """Replace every mart; facts are partitioned by month. Returns the
-    row-count manifest of what was written."""
-    built, written = build_marts(core), {}
-    for name in MARTS:
-        df = built[name]
-        if name in FACTS:
-            df = df.withColumn("month_key", F.floor(F.col("date_key") / 100).cast("int"))
-        if name == "daily_actuals":
-            # from the stored marts, so the daily totals are not computed twice
-            df = marts.daily_actuals(written["kpi_daily"], written["daily_entry"])
-        write_mart(df, out_root, name, ["month_key"] if name in FACTS else [])
-        written[name] = read_table(spark, out_root, f"mart.{name}")
-    return manifest(written)
+def rebuild(spark: SparkSession, core: Mapping[str, DataFrame], out_root: str, gates=None) -> DataFrame:
+    """Replace every mart in one commit; facts are partitioned by month, and only
+    months that differ are written. ``gates(read)`` may look at the marts as they will
+    be and raise: then none is replaced. Returns the row-count manifest."""
+    built = build_marts(core)
+    with Shelf(spark, f"{out_root}/mart").change() as change:
+        for name in MARTS:
+            df = built[name]
+            if name == "daily_actuals":
+                # from the written marts, so the daily totals are not computed twice
+                df = marts.daily_actuals(change.read("kpi_daily"), change.read("daily_entry"))
+            if name in FACTS:
+                month = F.floor(F.col("date_key") / 100).cast("int")
+                change.put(df.withColumn("month_key", month), name, ["month_key"], "changed")
+            else:
+                change.put(df, name)
+        if gates is not None:
+            gates(change.read)
+    return manifest({n: read_table(spark, out_root, f"mart.{n}") for n in MARTS})
+
+
+def consistent(read) -> None:
+    """A gate: no order and no day twice, no line without its order."""
+    quality.require(quality.check_unique(read("fct_order"), "order_key"), "order keys")
+    quality.require(quality.check_unique(read("kpi_daily"), "date_key"), "days")
+    quality.require(quality.check_fk(read("fct_order_item"), "order_key", read("fct_order"), "order_key"), "order lines")
 
 
 def build_models(m: Mapping[str, DataFrame], weather: DataFrame, holidays: DataFrame,
@@ -82,20 +95,20 @@ def build_models(m: Mapping[str, DataFrame], weather: DataFrame, holidays: DataF
 
 
 def remodel(spark: SparkSession, out_root: str, weather, holidays, spans, **options) -> DataFrame:
-    """Fit everything on the stored marts and replace the model tables."""
+    """Fit everything on the stored marts and replace the model tables, all in one
+    commit."""
     stored = {n: read_table(spark, out_root, f"mart.{n}") for n in MARTS}
-    written = {}
-    for name, df in build_models(stored, weather, holidays, spans, **options).items():
-        write_mart(df, out_root, name)
-        written[name] = read_table(spark, out_root, f"mart.{name}")
-    return manifest(written)
+    with Shelf(spark, f"{out_root}/mart").change() as change:
+        for name, df in build_models(stored, weather, holidays, spans, **options).items():
+            change.put(df, name)
+    return manifest({n: read_table(spark, out_root, f"mart.{n}") for n in MODELS})
 
 
 def main(argv):
     core_root, out_root = argv[:2]
     spark = SparkSession.builder.appName("martloom-build").getOrCreate()
     core = {n: read_table(spark, core_root, n, s) for n, s in SCHEMAS.items()}
-    rebuild(spark, core, out_root).show(50, False)
+    rebuild(spark, core, out_root, consistent).show(50, False)
     if "--models" in argv:
         cal = core["dim_date"]
         holidays = cal.filter("is_public_holiday").select(

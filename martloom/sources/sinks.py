@@ -1,42 +1,22 @@
-"""Sinks: mart rebuilds, exports, bulk loads, upserts, manifests."""
+"""Sinks: mart replacement, exports, bulk loads, upserts, manifests."""
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.quality import check_schema, require
+from .shelf import Shelf
 
 
-def write_mart(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = ()) -> str:
-    """Replace root/mart/name. The new data is written beside the old and
-    swapped in by rename, so a failed rebuild leaves the old mart readable."""
-    target = f"{root}/mart/{name}"
-    staged = f"{root}/mart/.staged-{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        # few files per partition value, while a big value is still split
-        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
-    writer.parquet(staged)
-    _swap(df.sparkSession, staged, target)
-    return target
-
-
-def _swap(spark, staged: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = path(staged), path(target)
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = path(f"{staged}-old")
-    had = fs.exists(old)
-    if had and not fs.rename(old, aside):
-        raise OSError(f"cannot move {target} aside")
-    if not fs.rename(new, old):
-        if had:
-            fs.rename(aside, old)
-        raise OSError(f"cannot move {staged} to {target}")
-    if had:
-        fs.delete(aside, True)
+def write_mart(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = (),
+               mode: str = "replace") -> int:
+    """Replace the mart ``name`` under root/mart, or (``mode='changed'``) the parts of
+    it whose rows differ, in one commit; returns its number. Readers see the old
+    mart until then, whatever happens in between."""
+    with Shelf(df.sparkSession, f"{root}/mart").change() as change:
+        change.put(df, name, partition_by, mode)
+    return change.number
 
 
 def export(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -8,16 +8,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.combine import with_variants
+from .shelf import Shelf
 
 
 def read_table(spark: SparkSession, root: str, name: str,
                schema: StructType | str | None = None, suffix: str = "") -> DataFrame:
-    """``layer.table`` or ``table`` under ``root``: the mart layer lives in
-    root/mart, every other layer in root. ``suffix`` is for single files."""
+    """``layer.table`` or ``table`` under ``root``: the mart layer is the shelf in
+    root/mart, every other layer lies in root. ``suffix`` is for single files."""
     layer, _, table = name.rpartition(".")
-    path = f"{root}/mart/{table}" if layer == "mart" else f"{root}/{table}"
+    if layer == "mart":
+        return Shelf(spark, f"{root}/mart").read(table)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path + suffix)
+    return reader.parquet(f"{root}/{table}{suffix}")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

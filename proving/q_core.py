@@ -8,8 +8,10 @@ from martloom.functions.labels import bin_fixed
 from martloom.operators import aggregate as agg
 from martloom.operators import combine, order, series
 from martloom.operators.stable import scratch_path
-from martloom.plans import marts
+from martloom.operators.quality import QualityError
+from martloom.plans import load, marts
 from martloom.sources import sinks, tables
+from martloom.sources.shelf import Shelf
 
 from .oracle_base import day, eur, ratio, register, sql
 
@@ -85,6 +87,68 @@ def snk_1(s):
     return tables.read_table(s.spark, root, "mart.channel_totals")
 
 
+@query("snk_2_replace_model_table", sql("ord", f"""
+SELECT 'channel' AS kind, channel_key AS k, count(*) AS orders, {eur('sum(gross_c)')} AS gross, 1 AS kept_versions
+FROM ord GROUP BY channel_key
+UNION ALL SELECT 'zone', zone_key, count(*), {eur('sum(gross_c)')}, 1 FROM ord WHERE zone_key IS NOT NULL
+GROUP BY zone_key"""))
+def snk_2(s):
+    """Two tables in one commit; then one of them is replaced, the other is not touched."""
+    shelf = Shelf(s.spark, scratch_path(s.spark, "models"))
+
+    def totals(kind, key, orders):
+        return orders.groupBy(F.col(key).cast("int").alias("k")).agg(
+            F.count(F.lit(1)).alias("orders"), F.sum("gross_amount").alias("gross")).withColumn("kind", F.lit(kind))
+
+    with shelf.change() as change:
+        change.put(totals("channel", "channel_key", s.orders), "by_channel")
+        change.put(totals("zone", "zone_key", s.orders.filter("is_cancelled")), "by_zone")
+    before = shelf.snapshot()[1]["by_channel"]
+    with shelf.change() as change:
+        change.put(totals("zone", "zone_key", s.orders.filter("zone_key is not null")), "by_zone")
+    same = int(shelf.snapshot()[1]["by_channel"] == before)
+    return shelf.read("by_channel").unionByName(shelf.read("by_zone")).withColumn("kept_versions", F.lit(same))
+
+
+@query("snk_4_load_transaction", """
+SELECT 'customers' AS loaded, count(*) AS n, round(sum(c_acctbal), 2) AS total, TRUE AS bad_load_refused FROM customer
+UNION ALL SELECT 'orders', count(*), round(sum(o_totalprice), 2), TRUE
+FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+def snk_4_load(s):
+    """Customers with half of the orders, then the other half; a third load with an
+    order of no customer is refused and leaves both tables as they were."""
+    path = scratch_path(s.spark, "core")
+    customers = s.raw("customer").select(F.col("c_custkey").alias("customer_key"),
+                                         F.col("c_acctbal").cast("decimal(14,2)").alias("balance"))
+    orders = s.raw("orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("customer_key"),
+                                    F.col("o_totalprice").cast("decimal(14,2)").alias("total")
+                                    ).join(customers.select("customer_key"), "customer_key", "left_semi")
+    schemas = {"customers": "customer_key long not null, balance decimal(14,2)",
+               "orders": "order_key long not null, customer_key long not null, total decimal(14,2) not null"}
+
+    def put(**tables):
+        load.load(s.spark, path, tables, schemas=schemas, order=["customers", "orders"],
+                  keys={"customers": ["customer_key"], "orders": ["order_key"]},
+                  parents={"orders": {"customer_key": ("customers", "customer_key")}},
+                  sums={"customers": ["balance"], "orders": ["total"]})
+
+    put(customers=customers, orders=orders.filter("order_key % 2 = 0"))
+    put(orders=orders.filter("order_key % 2 <> 0"))
+    strange = orders.limit(1).select(F.lit(-1).cast("long").alias("order_key"), F.lit(-1).cast("long").alias("customer_key"),
+                                     "total")
+    newcomer = customers.limit(1).withColumn("customer_key", F.lit(-2).cast("long"))
+    try:
+        put(customers=newcomer, orders=strange)
+        refused = False
+    except QualityError:
+        refused = True
+    shelf = Shelf(s.spark, path)
+    told = [shelf.read(n).agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("total")).withColumn("loaded", F.lit(n))
+            for n, c in (("customers", "balance"), ("orders", "total"))]
+    return told[0].unionByName(told[1]).select("loaded", "n", F.col("total").cast("double").alias("total"),
+                                               F.lit(refused).alias("bad_load_refused"))
+
+
 @query("snk_3_export", "SELECT n_nationkey, n_name FROM nation")
 def snk_3(s):
     path = scratch_path(s.spark, "export")
