@@ -99,19 +99,19 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     they were."""
     # rows of equal keys have equal lines, so any of their places will do
     good = _judged(docs, **options).filter("kept").groupBy(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.first("shared_at").alias("_shared_at"))
-    found = docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                      & (F.xxhash64("doc_id", "source", "text") == F.col("_key")))
-    raw = F.split(F.col("text").cast("string"), "\n")
-    placed = F.filter(F.transform("_raw", lambda l, i: i), lambda i: F.trim(F.get(F.col("_raw"), i), F.lit(SPACE)) != "")
-    found = found.withColumn("_raw", raw).withColumn("_placed", placed)
-    left = F.array_except(F.transform("_raw", lambda l, i: i),
-                          F.transform("_shared_at", lambda j: F.get(F.col("_placed"), j)))
-    text = F.when(F.col("_shared_at").isNull(), F.col("text").cast("string")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(F.col("_raw"), i)), "\n"))
-    found = found.withColumn("_text", text)
-    new = {"text": F.col("_text").cast(docs.schema["text"].dataType)}
+        F.col("doc_id").alias("good_id"), F.col("key").alias("good_key")).agg(F.first("shared_at").alias("shared_at"))
+    # the row itself in one column, so that no name of its own can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64("doc_id", "source", "text").alias("key"), F.col("text").cast("string").alias("body"))
+    found = rows.join(good, F.col("id").eqNullSafe(F.col("good_id")) & (F.col("key") == F.col("good_key")))
+    found = found.withColumn("raw", F.split("body", "\n")).withColumn("at", F.transform("raw", lambda l, i: i))
+    placed = F.filter("at", lambda i: F.trim(F.get(F.col("raw"), i), F.lit(SPACE)) != "")
+    found = found.withColumn("placed", placed)
+    left = F.array_except("at", F.transform("shared_at", lambda j: F.get(F.col("placed"), j)))
+    found = found.withColumn("new_text", F.when(F.col("shared_at").isNull(), F.col("body")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get(F.col("raw"), i)), "\n")))
+    new = {"text": F.col("new_text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_shared_at").isNull(), F.col("n_chars")).otherwise(
-            F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*[new[c].alias(c) if c in new else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("shared_at").isNull(), F.col("row")["n_chars"]).otherwise(
+            F.length("new_text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -61,11 +61,8 @@ WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS h
   line AS (SELECT uid, host, j, len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(
       regexp_replace(lower(regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), '[0-9]', '0', 'g'),
       '[\x20\x09-\x0D]+', ' ', 'g') AS h FROM x),
-  near AS (SELECT *, {'a': lag(h) OVER w, 'b': lead(h) OVER w} AS beside FROM line WINDOW w AS (PARTITION BY uid ORDER BY j)),
-  held AS (SELECT host, h, uid, arg_min(beside, j) AS beside FROM near GROUP BY host, h, uid),
-  shared AS (SELECT host, h FROM held JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY host) USING (host)
-    GROUP BY host, h, host_docs
-    HAVING count(*) > 10 AND count(*) > 0.002 * host_docs AND count(DISTINCT beside) >= 0.5 * count(*)),
+  shared AS (SELECT host, h FROM line JOIN (SELECT uid, sha256(body) AS same FROM d) USING (uid)
+    GROUP BY host, h HAVING count(DISTINCT same) > 10),
   gone AS (SELECT uid, sum(n)::BIGINT AS n_shared_words FROM line JOIN shared USING (host, h) GROUP BY uid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_shared_words, 0) AS n_shared_words,

@@ -139,20 +139,24 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5,
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
     p = vector_to_array("probability").getItem(1)
     return (model.transform(ready).select("doc_id", "key", "value", p.alias("probability"))
+            # a value that repeats with other surroundings counts at its likeliest place
+            .groupBy("doc_id", "key", "value").agg(F.max("probability").alias("probability"))
             .filter(F.col("probability") >= least))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every secret's value replaced by ``mask`` and n_chars
     counted anew; texts without secrets and all other columns stay as they are."""
-    found = (scan(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    found = (scan(docs, **options).groupBy(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"))
              # longest first, so that no value is cut by a shorter one; the values of one text
-             .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_secrets")))
-    clean = F.aggregate(F.coalesce("_secrets", F.array()), F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mask)))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64("doc_id", "text") == F.col("_key")), "left")
-    has = F.col("_secrets").isNotNull()
-    changed = {"text": F.when(has, clean).otherwise(F.col("text"))}
+             .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("secrets")))
+    # the row itself in one column, so that no name of its own can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("body"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
+    clean = F.aggregate(F.coalesce("secrets", F.array()), F.col("body"), lambda t, s: F.replace(t, s["value"], F.lit(mask)))
+    has = F.col("secrets").isNotNull()
+    changed = {"text": F.when(has, clean).otherwise(F.col("body"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(has, F.length(clean).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return joined.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(has, F.length(clean).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row")["n_chars"])
+    return joined.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])

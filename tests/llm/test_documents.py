@@ -40,17 +40,20 @@ def test_base_statistics(docs, texts):
     assert all(not r.kept for r in got if r.base_failed)
 
 
-def verdicts(rows, limit=3, share=0.002, variety=0.5, left=0.3):
-    """(doc_id, kept) by brute force; rows are (doc_id, host, text)."""
+def shared_by(rows, limit):
+    """Normalised lines of each row, and the (host, line) that more than ``limit``
+    different texts of a host hold; rows are (doc_id, host, text)."""
     norm = lambda x: re.sub(SPACE + "+", " ", re.sub("[0-9]", "0", x.strip(" \t\n\x0b\f\r").lower()))
-    held, hosts, out = defaultdict(dict), Counter(h for _, h, _ in rows), []
-    lines = [[norm(x) for x in t.split("\n") if re.search(WORD, x)] for _, _, t in rows]
-    for k, (_, host, _) in enumerate(rows):
-        for j, x in enumerate(lines[k]):
-            beside = (lines[k][j - 1] if j else None, lines[k][j + 1] if j + 1 < len(lines[k]) else None)
-            held[host, x].setdefault(k, []).append(beside)
-    shared = {x for x, d in held.items() if len(d) > limit and len(d) > share * hosts[x[0]]
-              and len({b[0] for b in d.values()}) >= variety * len(d)}
+    lines, held = [[norm(x) for x in t.split("\n") if re.search(WORD, x)] for _, _, t in rows], defaultdict(set)
+    for (_, host, text), own in zip(rows, lines):
+        for x in own:
+            held[host, x].add(text)
+    return lines, {x for x, texts in held.items() if len(texts) > limit}
+
+
+def verdicts(rows, limit=3, left=0.3):
+    """(doc_id, kept) by brute force."""
+    out, (lines, shared) = [], shared_by(rows, limit)
     for k, (i, host, text) in enumerate(rows):
         b = base_of(text)
         gone = sum(len(x.split(" ")) for x in lines[k] if (host, x) in shared)
@@ -73,6 +76,23 @@ def test_shared_lines_deplete_documents_and_copies_do_not(spark):
     assert {r.doc_id for r in quality.keep_good(df, limit_docs=3).collect()} == kept
 
 
+def test_shared_lines_leave_the_kept_texts(spark):
+    """Brute force of the texts; columns that the operator could use itself stay."""
+    bar = "Menu  Home 1 | %s" % prose(99, 20)
+    rows = [(i, "h", f"{prose(i, 100)}\n\n{bar}\n{prose(i + 50, 40)}" if i % 2 else prose(i, 90)) for i in range(14)]
+    odd = ["_raw", "_placed", "_text", "_id", "_key", "_shared_at", "row", "id", "key", "a`b.c"]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns(
+        {c: F.lit(c) for c in odd}).withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: r for r in quality.keep_good(df, limit_docs=3).collect()}
+    lines, shared = shared_by(rows, 3)
+    assert len(got) == 14 and len(shared) == 1
+    for i, host, text in rows:
+        norm = iter(lines[i])
+        left = [x for x in text.split("\n") if not re.search(WORD, x) or (host, next(norm)) not in shared]
+        assert got[i].text == "\n".join(left) and got[i].n_chars == len(got[i].text)
+        assert [got[i][c] for c in odd] == odd
+
+
 def fingerprint(text):
     w = re.findall(WORD, text.translate(LOW))
     s = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -238,6 +258,17 @@ def test_secrets_are_found_and_masked(spark, docs, empty):
     kept = secrets.redact(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert [x.text for x in kept.filter("doc_id = 12").collect()][0].count("[SECRET]") == 1
+    odd = ["_id", "_key", "_secrets", "secrets", "row", "id", "body", "a`b.c"]
+    named = secrets.redact(df.withColumns({c: F.lit(c) for c in odd}))
+    assert named.columns == [*df.columns, *odd] and all([r[c] for c in odd] == odd for r in named.collect())
+
+
+def test_a_secret_twice_in_a_document_is_one_row(spark):
+    value = "0f3b" * 8
+    rows = [(i, f"{prose(i, 60)} token = \"{value}\" {prose(i + 1, 9)} secret = \"{value}\" {prose(i + 2, 9)}", "s")
+            for i in range(3)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len({(r.doc_id, r.key, r.value) for r in got}) == 3
 
 
 def test_raking_meets_all_marginals(spark):
