@@ -38,7 +38,9 @@ def huber_fit(rows: DataFrame, series: Sequence[str], x: str, y: str, max_iter:
     that; or at once where the residuals are rounding. A null key is a series of its own.
     """
     series = list(series)
-    rows = stable(rows.select(*series, F.col(x).alias("x"), F.col(y).cast("double").alias("y")), "robust-rows")
+    # read once a step: as few files as their size asks for
+    rows = stable(rows.select(*series, F.col(x).alias("x"), F.col(y).cast("double").alias("y")).hint("rebalance"),
+                  "robust-rows")
     start = rows.groupBy(*series).agg(
         F.transform(F.first("x"), lambda _: F.lit(0.0)).alias("beta"), F.max(F.abs("y")).alias("size"),
         F.count(F.lit(1)).alias("n"))
