@@ -1,10 +1,11 @@
 """Market basket rules between pairs of item names."""
 
-from pyspark.ml.fpm import FPGrowth
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import half_even
-from .order import top_k
+from .order import number_rows, top_k
 from .stable import stable
 
 
@@ -77,16 +78,34 @@ def pair_rules(baskets_: DataFrame, min_support: float = 0.01, min_lift: float =
 
 
 def itemsets_fpgrowth(baskets_: DataFrame, min_support: float = 0.01) -> DataFrame:
-    """Frequent itemsets of any size through the library's parallel FP-growth;
-    opt-in, pairs agree with :func:`pair_rules`."""
+    """Frequent itemsets of any size, pairs agree with :func:`pair_rules`.
+
+    FP-growth's projection as DataFrame steps: a row is a set and what may still follow
+    it in a basket, rarest names first, and equal rows are one row with a count. Each
+    round extends the sets by one name, counts them (combined map-side) and goes on
+    with the frequent ones alone.
+    """
     frequent = stable(item_support(baskets_, min_support), "items")
-    arrays = (baskets_.join(frequent.select("item_name"), "item_name")
-              .groupBy("order_key").agg(F.collect_set("item_name").alias("items")))
-    total = baskets_.agg(F.countDistinct("order_key").alias("n"))
-    kept = arrays.agg(F.count(F.lit(1)).alias("n"))
-    share = total.select((F.col("n") / F.greatest(kept.scalar(), F.lit(1))).alias("s"))
-    # support is relative to all orders, FP-growth sees those with frequent items
-    scale = share.first()["s"]
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * scale)).fit(arrays)
-    return model.freqItemsets.select(
-        F.sort_array("items").alias("items"), F.col("freq").alias("orders"))
+    codes = stable(number_rows(frequent, ["orders", "item_name"], "code").select(
+        "item_name", F.col("code").cast("int").alias("code")), "codes")
+    total = frequent.agg(F.max("total").alias("t")).scalar()
+    rest = (baskets_.join(codes.select("item_name", "code"), "item_name").groupBy("order_key")
+            .agg(F.sort_array(F.collect_set("code")).alias("rest")))
+    rows = stable(rest.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).select(
+        F.array().cast("array<int>").alias("items"), "rest", "n"), "projected")
+    levels = []
+    while True:
+        longer = rows.select("items", "rest", "n", F.posexplode("rest").alias("at", "code")).select(
+            F.concat("items", F.array("code")).alias("items"),
+            F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "n")
+        levels.append(stable(longer.groupBy("items").agg(F.sum("n").alias("orders")).filter(
+            F.col("orders") / total >= min_support), "sets"))
+        if levels[-1].isEmpty():
+            break
+        rows = stable(longer.filter(F.size("rest") > 0).join(levels[-1].select("items"), "items")
+                      .groupBy("items", "rest").agg(F.sum("n").alias("n")), "projected")
+    return (reduce(DataFrame.unionByName, levels)
+            .select("items", "orders", F.explode("items").alias("code"))
+            .join(codes.select("item_name", "code"), "code").groupBy("items", "orders")
+            .agg(F.sort_array(F.collect_list("item_name")).alias("names"))
+            .select(F.col("names").alias("items"), "orders"))

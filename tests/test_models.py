@@ -256,3 +256,35 @@ def test_delivery_model_and_factors(spark):
     assert s.mae < 0.3 * s.naive_mae
     factors = delivery.delivery_factors(model, test, feats).orderBy("rank").collect()
     assert [f.feature for f in factors] == feats and factors[0].share_of_effect > 0.9
+
+
+def test_itemsets_of_any_size_against_brute_force(spark):
+    from itertools import combinations
+    names = [f"i{k}" for k in range(9)]
+    held = {o: {names[(o * p + p) % 9] for p in (1, 2, 4, 5)} | ({"lone"} if o % 100 == 0 else set())
+            for o in range(300)}
+    held[999] = {"rare"}  # counts in the total, is in no set
+    for floor in (0.01, 0.05, 0.4):
+        want = {}
+        for b in held.values():
+            for k in range(1, len(b) + 1):
+                for c in combinations(sorted(b), k):
+                    want[c] = want.get(c, 0) + 1
+        want = {c: n for c, n in want.items() if n / len(held) >= floor}
+        b = table(spark, "order_key long, item_name string", *[(o, n) for o, ns in held.items() for n in ns])
+        got = basket.itemsets_fpgrowth(b, floor).collect()
+        assert {tuple(r["items"]): r.orders for r in got} == want and len(got) == len(want)
+
+
+def test_itemsets_project_equal_baskets_once(spark, monkeypatch):
+    """Ten times the same baskets leave as many rows to extend."""
+    stored, plain = [], basket.stable
+    monkeypatch.setattr(basket, "stable", lambda df, what="frame": stored.append((what, plain(df, what))) or stored[-1][1])
+    sizes = []
+    for copies in (1, 10):
+        stored.clear()
+        b = table(spark, "order_key long, item_name string",
+                  *[(o + 1000 * c, f"i{o * p % 7}") for c in range(copies) for o in range(1, 40) for p in (1, 2, 3)]).distinct()
+        basket.itemsets_fpgrowth(b, 0.02).collect()
+        sizes.append([df.count() for what, df in stored if what == "projected"])
+    assert sizes[0] == sizes[1] and sizes[0][0] <= 39
