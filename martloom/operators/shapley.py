@@ -114,18 +114,21 @@ def shapley_values(rows: DataFrame, forest, features: Sequence[str], keep: Seque
     return read.mapInArrow(run, schema)
 
 
-def mean_absolute(rows: DataFrame, forest, features: Sequence[str]) -> DataFrame:
-    """(feature, mean_abs_shap) over all ``rows``; tasks hand on sums only."""
+def mean_absolute(rows: DataFrame, forest, features: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(feature, mean_abs_shap) over all ``rows``, each as often as its ``weight`` says;
+    tasks hand on sums only."""
     tables, features = Tables(forest, len(features)), list(features)
-    read = rows.select(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("x"))
+    read = rows.select(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("x"),
+                       (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
 
     def run(batches):
-        total, n = np.zeros(len(features)), 0
+        total, n = np.zeros(len(features)), 0.0
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
-            total, n = total + np.abs(tables.values(x)).sum(0), n + len(x)
-        yield pa.record_batch([pa.array(features), pa.array(total), pa.array([n] * len(features), pa.int64())],
+            w = batch.column("w").to_numpy(zero_copy_only=False)
+            total, n = total + w @ np.abs(tables.values(x)), n + w.sum()
+        yield pa.record_batch([pa.array(features), pa.array(total), pa.array([n] * len(features), pa.float64())],
                               ["feature", "s", "n"])
 
-    return read.mapInArrow(run, "feature string, s double, n long").groupBy("feature").agg(
+    return read.mapInArrow(run, "feature string, s double, n double").groupBy("feature").agg(
         F.try_divide(F.sum("s"), F.sum("n")).alias("mean_abs_shap"))

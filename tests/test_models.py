@@ -258,6 +258,51 @@ def test_delivery_model_and_factors(spark):
     assert [f.feature for f in factors] == feats and factors[0].share_of_effect > 0.9
 
 
+def test_delivery_model_of_cells_is_that_of_rows(spark):
+    """Rows in the same bins are fitted once, with the result of every row."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    i = F.col("id")
+    feats = ["a", "b", "rare"]
+    df = spark.range(6000).select(
+        i.alias("order_key"), (i * 37 % 11).cast("double").alias("a"), (i % 3).cast("double").alias("b"),
+        F.when(i % 50 != 0, (i % 2000 == 1).cast("double")).alias("rare"),
+        (20 + i * 37 % 11 * 3 + i % 3 * 7 + i * 7919 % 5).cast("int").alias("actual_min"))
+    model, test, scores = delivery.delivery_time_model(df, feats, trees=6, step=0.3)
+    bins = model.stages[0]
+    assert [len(s) for s in bins.getSplitsArray()] == [12, 4, 3]  # a bin for each value
+    rows_ = df.fillna(float("nan"), ["rare"]).join(test.select("order_key"), "order_key", "left_anti").withColumn(
+        "label", F.col("actual_min").cast("double"))
+    train = bins.transform(rows_)
+    cells = delivery.binned(bins, rows_, F.avg("label").alias("label"))
+    n = train.count()
+    assert cells.count() <= 11 * 3 * 3 and cells.agg(F.sum("weight")).first()[0] == n > 4000
+    vec = VectorAssembler(inputCols=bins.getOutputCols(), outputCol="features")
+    numbers = train.repartition(3).withColumns({c: F.col(c).cast("int") for c in bins.getOutputCols()})
+    plain = GBTRegressor(maxIter=6, stepSize=0.3, maxDepth=5, seed=42, maxBins=33).fit(vec.transform(numbers))
+    want = {r.order_key: r.prediction for r in plain.transform(vec.transform(bins.transform(test))).collect()}
+    got = {r.order_key: r.prediction for r in model.transform(test).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    # factors: each cell once, as often as it occurs
+    from martloom.operators.shapley import forest_of, shapley_values
+    coded = bins.transform(test).select(*[F.col(f"{f}_bin").alias(f) for f in feats])
+    shap = shapley_values(coded, forest_of(model.stages[-1]), feats).collect()
+    mean = {f: sum(abs(r.shap[k]) for r in shap) / len(shap) for k, f in enumerate(feats)}
+    for r in delivery.delivery_factors(model, test, feats).collect():
+        assert r.mean_abs_shap == pytest.approx(mean[r.feature], abs=6e-4)
+
+
+def test_cut_points_of_odd_features(spark):
+    df = spark.range(10000).select(
+        (F.col("id") % 100).cast("double").alias("wide"), F.lit(3.0).alias("one"),
+        F.lit(None).cast("double").alias("none"), F.when(F.col("id") == 7, 1.0).otherwise(float("nan")).alias("nan"),
+        (F.col("id") == 9).cast("double").alias("rare"))
+    inf = float("inf")
+    wide, *others = delivery.cut_points(df, df.columns)
+    assert others == [[-inf, 3.0, inf], [-inf, 0.0, inf], [-inf, 1.0, inf], [-inf, 1.0, inf]]
+    assert len(wide) == 33 and all(abs(q - k * 100 / 32) <= 1.1 for k, q in enumerate(wide[1:-1], 1))
+
+
 def test_itemsets_of_any_size_against_brute_force(spark):
     from itertools import combinations
     names = [f"i{k}" for k in range(9)]
