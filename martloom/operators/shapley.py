@@ -64,16 +64,18 @@ class Tables:
         parts = [float(np.prod([p for f, _, _, p in path if f == g])) for g in features]
         k = len(features)
         table = np.zeros((1 << k, k))
-        for case in range(1 << k):
-            leads = [case >> j & 1 for j in range(k)]
-            for i in range(k):
-                # coefficients: sums over the other features' subsets of each size
-                sizes = np.array([1.0])
-                for j in range(k):
-                    if j != i:
-                        sizes = np.append(sizes * parts[j], 0.0) + np.append(0.0, sizes * leads[j])
-                odds = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
-                table[case, i] = value * (leads[i] - parts[i]) * (sizes @ odds)
+        leads = (np.arange(1 << k)[:, None] >> np.arange(k) & 1).astype(float)  # all cases at once
+        odds = np.array([factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)])
+        for i in range(k):
+            # coefficients: sums over the other features' subsets of each size
+            sizes, n = np.zeros((1 << k, k)), 1
+            sizes[:, 0] = 1.0
+            for j in range(k):
+                if j != i:
+                    longer = sizes * parts[j]
+                    longer[:, 1:n + 1] += sizes[:, :n] * leads[:, j:j + 1]
+                    sizes, n = longer, n + 1
+            table[:, i] = value * (leads[:, i] - parts[i]) * (sizes @ odds)
         return features, conditions, table
 
     def values(self, x):
